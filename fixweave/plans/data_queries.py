@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.copies import diff_copies, list_form, number_form, text_form
+from ..operators.drift import schema_changes, unify
 from ..operators.nested import flatten_entries, flatten_records
 from ..session import read_table
 
@@ -19,6 +20,35 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return diff_copies(*copies, ["chart_no"], fields, "loaded_at", ("path_o", "path_o_mirror"))
 
 
+def _feeds(spark: SparkSession, folder: str) -> DataFrame:
+    return read_table(spark, folder, "path_b").unionByName(read_table(spark, folder, "path_e"))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every change of a layout and the file where it starts."""
+    return schema_changes(_feeds(spark, folder))
+
+
+#: The consistent table's columns beside those of a row.
+RECORD = {
+    "raw_instruction": "string",
+    "climb_altitude": "number",
+    "waypoints": "list",
+    "turn_direction": "string",
+    "holding_required": "boolean",
+    "holding_fix": "string",
+    "initial_track": "string",
+    "turn_trigger": "string",
+    "evidence": "string",
+    "_questionnaire": "answers",
+}
+
+
+def p2_table(spark: SparkSession, folder: str) -> DataFrame:
+    """All records of paths B and E in one consistent table."""
+    return unify(_feeds(spark, folder), RECORD)
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every leg of every pair."""
     return flatten_entries(read_table(spark, folder, "pairs_100"), "pair_no", "body", "cifp.legs", "legs", ["rt_type", "wpt_ident"], number="leg_no")
@@ -38,6 +68,8 @@ def p5_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
+    "p2_found": p2_found,
+    "p2_table": p2_table,
     "p5_found": p5_found,
     "p5_legs": p5_legs,
     "p5_pairs": p5_pairs,
