@@ -94,7 +94,7 @@ def _script(char: str) -> str:
 def _natural(text: str, start: int, end: int, fixed: str) -> bool:
     """Whether the span reads as it stands: letters of one script that go on beside it,
     or a decoded text that no one would write."""
-    if any(unicodedata.category(c) in ("Cn", "Co", "Cs", "Cc") for c in fixed):
+    if any(unicodedata.category(c) in ("Cn", "Co", "Cs") or c < " " for c in fixed):
         return True
     scripts = {_script(c) for c in text[start:end]}
     if "" in scripts or len(scripts) != 1 or scripts == {"LATIN"} and len(text) > end and fixed.isalpha() is False:
@@ -108,6 +108,9 @@ class Repair:
 
     def __init__(self, known: dict[str, int], least: int = 2, rounds: int = 3):
         self.known, self.least, self.rounds = known, least, rounds
+        self.folded: dict[str, int] = {}
+        for w, n in known.items():
+            self.folded[w.lower()] = self.folded.get(w.lower(), 0) + n
         self.codecs = [Codec(c) for c in WRONG]
         self.single = [(_back(w), t) for w, t in SINGLE]
         self.seen: dict[str, tuple[str, tuple[str, ...]]] = {}
@@ -115,6 +118,9 @@ class Repair:
     def count(self, word: str) -> int:
         return self.known.get(re.sub(r"[0-9]+", "9", word), 0)
 
+    def fold(self, word: str) -> int:
+        return self.folded.get(re.sub(r"[0-9]+", "9", word).lower(), 0)
+
     def readings(self, text: str) -> dict[str, int]:
         """The text with the spans of each legacy encoding decoded, and how many characters they held."""
         points = np.fromiter(map(ord, text), np.int64, len(text))
@@ -145,7 +151,7 @@ class Repair:
             level = [r for t in level for r in self.readings(t)]
             level = [r for r in dict.fromkeys(level) if r not in tried]
             tried |= set(level)
-            known += [(n, -depth, r) for r in level if (n := self.count(r)) >= self.least]
+            known += [(n, -depth, r) for r in level if (n := self.fold(r) if r == r.lower() else self.count(r)) >= self.least]
         if known:
             return max(known)[2]
         now = text
@@ -161,7 +167,7 @@ class Repair:
         if lifted == text:
             return None
         fixed = self.multibyte(lifted)
-        return None if fixed is None else "".join(c.lower() if ord(c) > 0x7F else c for c in fixed)
+        return None if fixed is None else fixed.lower()
 
     def remapped(self, word: str) -> str | None:
         """A reading in another single-byte encoding that the corpus knows far better."""
@@ -184,6 +190,7 @@ class Repair:
 
     def shifted(self, text: str) -> str | None:
         """UTF-7 shifts undone where they hold whole characters beyond ASCII."""
+        whole = text
 
         def undo(m: re.Match) -> str:
             code = m.group(1)
@@ -202,8 +209,12 @@ class Repair:
             closed = m.group().endswith("-")
             return got if closed or self.count(text[: m.start()].rpartition(" ")[2] + got + text[m.end() :].partition(" ")[0]) else m.group()
 
-        fixed = re.sub(r"\+([A-Za-z0-9+/]{3,})-?", undo, text)
-        return fixed if fixed != text else None
+        # closed shifts first: the words around the others are then as they were
+        fixed = text
+        for pattern in (r"\+([A-Za-z0-9+/]{3,})-", r"\+([A-Za-z0-9+/]{3,})"):
+            text = fixed
+            fixed = re.sub(pattern, undo, text)
+        return fixed if fixed != whole else None
 
     def word(self, word: str) -> tuple[str, tuple[str, ...]]:
         """The restored word and the kinds of damage found in it."""
@@ -211,10 +222,10 @@ class Repair:
             return hit
         now, kinds = word, []
         if not word.isascii():
-            fixed, lowered = self.multibyte(word), self.lowered(word)
+            fixed, lowered = self.multibyte(word), self.lowered(word) if word == word.lower() else None
             have = RARER * self.count(word)
             # the lower-case reading needs the corpus on its side, or a word that isn't known and has no other
-            if lowered is not None and (self.count(lowered) > max(have, self.count(fixed) if fixed else 0) or fixed is None and not have):
+            if lowered is not None and (self.fold(lowered) > max(have, self.fold(fixed) if fixed else 0) or fixed is None and not have):
                 fixed = lowered
             if fixed is not None:
                 now, kinds = fixed, ["multibyte"]
