@@ -11,6 +11,17 @@ from ..session import read_table
 from .encoding import repair_encoding
 from .leaks import find_leaks
 from .mixing import mix_sources
+from .scans import clean_scans
+
+
+def p3_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    """Every record of path A with its text in continuous paragraphs and the noise found in it."""
+    return clean_scans(read_table(spark, folder, "path_a"), "rec_id", "raw_instruction", "waypoints")
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Each record's kinds of noise."""
+    return p3_repaired(spark, folder).select("rec_id", F.explode("noise").alias("noise"))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -50,6 +61,8 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p3_found": p3_found,
+    "p3_repaired": p3_repaired,
     "p4_found": p4_found,
     "p4_restored": p4_restored,
     "p6_found": p6_found,
