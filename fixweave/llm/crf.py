@@ -62,14 +62,14 @@ class Chain:
 
     # training
 
-    def fit(self, sequences: Sequence[Sequence[str]], tags: Sequence[Sequence[str]], rounds: int = 80, rate: float = 0.15, decay: float = 2e-3) -> Chain:
-        """Maximum likelihood by gradient steps with adaptive rates over all sequences."""
+    def fit(self, sequences: Sequence[Sequence[str]], tags: Sequence[Sequence[str]], rounds: int = 60, decay: float = 0.02) -> Chain:
+        """Maximum penalised likelihood over all sequences, by L-BFGS."""
         unique = sorted({t for s in sequences for t in s})
         at = {t: i for i, t in enumerate(unique)}
         label = {x: i for i, x in enumerate(self.labels)}
         rows, columns = self._matrix(unique, grow=True)
         m, n = len(self.column), len(self.labels)
-        design = np.zeros((len(unique), m))
+        design = np.zeros((len(unique), m), np.float32)
         design[rows, columns] = 1.0
         width = max(map(len, sequences))
         order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
@@ -79,60 +79,85 @@ class Chain:
             padded[r, : len(sequences[i])] = [at[t] for t in sequences[i]]
             gold[r, : len(tags[i])] = [label[x] for x in tags[i]]
         there = padded >= 0
-        length = there.sum(axis=1)
-        one = np.eye(n)[gold] * there[..., None]
+        # all real places in a row, by place and then by sequence: no work is done for padding
+        alive = there.sum(axis=0)
+        begin = np.concatenate(([0], np.cumsum(alive)))
+        flat = np.concatenate([padded[: alive[t], t] for t in range(width)])
+        truth = np.concatenate([gold[: alive[t], t] for t in range(width)])
+        place = np.zeros(padded.shape, np.int64)
+        for t in range(width):
+            place[: alive[t], t] = begin[t] + np.arange(alive[t])
+        wide = np.pad(padded, ((0, 0), (3, 3)), constant_values=-1)
+        near = [np.concatenate([wide[: alive[t], 3 + o + t] for t in range(width)]) for o in OFFSETS]
+        one = np.eye(n, dtype=np.float32)[truth]
         pair = np.zeros((n, n))
         for t in range(1, width):
-            pair += one[:, t - 1].T @ one[:, t]
-        wide = np.pad(padded, ((0, 0), (3, 3)), constant_values=-1)
-        neighbours = [wide[:, 3 + o : 3 + o + width] for o in OFFSETS]
-
-        self.weight = np.zeros((len(OFFSETS), m, n))
-        params = [self.weight, self.step, self.first]
-        moment = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
-        for k in range(1, rounds + 1):
-            scores = np.zeros((len(OFFSETS), len(unique) + 1, n))
-            scores[:, :-1] = design @ self.weight
-            unary, pairs = self._marginals(self.emissions(scores, padded), there, length)
-            gap = (one - unary) * there[..., None]
-            grads = [np.empty_like(self.weight), (pair - pairs) * self.allowed, (one[:, 0] - unary[:, 0]).sum(axis=0)]
-            for i, near in enumerate(neighbours):
-                mask = there & (near >= 0)
-                held = np.stack([np.bincount(near[mask], gap[..., c][mask], len(unique)) for c in range(n)], axis=1)
-                grads[0][i] = design.T @ held
-            for p, g, (a, b) in zip(params, grads, moment):
-                g = g / len(sequences) - decay * np.where(np.abs(p) < -NEVER / 2, p, 0)
-                a += 0.1 * (g - a)
-                b += 0.01 * (g * g - b)
-                p += rate * (a / (1 - 0.9**k)) / (np.sqrt(b / (1 - 0.99**k)) + 1e-8) * (np.abs(p) < -NEVER / 2)
+            pair += one[begin[t - 1] : begin[t - 1] + alive[t]].T @ one[begin[t] : begin[t + 1]]
+        sizes = (len(OFFSETS) * m * n, n * n, n)
+        gathers = [np.argsort(x, kind="stable") for x in near]
+
+        def spread(gap: np.ndarray, i: int) -> np.ndarray:
+            """Sums of the rows of ``gap`` by the token at offset ``i``."""
+            rank = gathers[i]
+            keys = near[i][rank]
+            heads = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            out = np.zeros((len(unique) + 1, n), np.float32)
+            out[keys[heads]] = np.add.reduceat(gap[rank], heads, axis=0)
+            return out[:-1]  # no token counts in the last row
+
+        def value(x: np.ndarray) -> tuple[float, np.ndarray]:
+            weight = x[: sizes[0]].reshape(len(OFFSETS), m, n)
+            step = np.where(self.allowed, x[sizes[0] : sizes[0] + sizes[1]].reshape(n, n), NEVER)
+            first = np.where(self.first > NEVER / 2, x[sizes[0] + sizes[1] :], NEVER)
+            emission = np.zeros((len(flat), n), np.float32)
+            for i in range(len(OFFSETS)):
+                score = np.zeros((len(unique) + 1, n), np.float32)
+                score[:-1] = design @ weight[i].astype(np.float32)
+                emission += score[near[i]]
+            unary, pairs, normal = self._marginals(emission, begin, alive, step, first)
+            gap = one - unary
+            grad = np.empty_like(x)
+            held = grad[: sizes[0]].reshape(len(OFFSETS), m, n)
+            for i in range(len(OFFSETS)):
+                held[i] = design.T @ spread(gap, i)
+            grad[sizes[0] : sizes[0] + sizes[1]] = ((pair - pairs) * self.allowed).ravel()
+            grad[sizes[0] + sizes[1] :] = gap[: alive[0]].sum(axis=0)
+            like = float((emission * one).sum(dtype=np.float64)) + float((step * pair).sum()) + float((first * one[: alive[0]].sum(axis=0)).sum()) - normal
+            return decay / 2 * float(x @ x) - like, decay * x - grad
+
+        x = lbfgs(value, np.zeros(sum(sizes)), rounds)
+        self.weight = x[: sizes[0]].reshape(len(OFFSETS), m, n)
+        self.step = np.where(self.allowed, x[sizes[0] : sizes[0] + sizes[1]].reshape(n, n), NEVER)
+        self.first = np.where(self.first > NEVER / 2, x[sizes[0] + sizes[1] :], NEVER)
         return self
 
-    def _marginals(self, emission: np.ndarray, there: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Forward-backward with scaled probabilities; sequences come longest first."""
-        top = emission.max(axis=2, keepdims=True)
-        local = np.exp(emission - top)
-        step, width = np.exp(self.step), emission.shape[1]
-        alive = there.sum(axis=0)
-        ahead = np.zeros_like(local)
-        ahead[:, 0] = local[:, 0] * np.exp(self.first)
-        ahead[:, 0] /= ahead[:, 0].sum(axis=1, keepdims=True)
-        for t in range(1, width):
-            a = alive[t]
-            ahead[:a, t] = (ahead[:a, t - 1] @ step) * local[:a, t]
-            ahead[:a, t] /= ahead[:a, t].sum(axis=1, keepdims=True)
-        back = np.zeros_like(local)
-        back[np.arange(len(length)), length - 1] = 1.0
-        pairs = np.zeros_like(step)
+    @staticmethod
+    def _marginals(emission: np.ndarray, begin: np.ndarray, alive: np.ndarray, step: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Label probabilities of each place, expected label pairs and the log of the normalisers,
+        by the forward-backward recursion with scaled probabilities. Places lie one after the
+        other, and of each the sequences that reach it, longest first."""
+        top = emission.max(axis=1, keepdims=True)
+        local = np.exp(emission - top).astype(np.float64)
+        go, width = np.exp(step), len(alive)
+        ahead = np.empty_like(local)
+        normal = float(top.sum(dtype=np.float64))
+        now = local[: alive[0]] * np.exp(first)
+        for t in range(width):
+            if t:
+                now = (ahead[begin[t - 1] : begin[t - 1] + alive[t]] @ go) * local[begin[t] : begin[t + 1]]
+            scale = now.sum(axis=1, keepdims=True)
+            normal += float(np.log(scale).sum())
+            ahead[begin[t] : begin[t + 1]] = now / scale
+        back = np.ones_like(local)
+        pairs = np.zeros_like(go)
         for t in range(width - 1, 0, -1):
-            a = alive[t]
-            onward = local[:a, t] * back[:a, t]
-            grown = onward @ step.T
-            total = (ahead[:a, t - 1] * grown).sum(axis=1, keepdims=True)
-            pairs += (ahead[:a, t - 1] / total).T @ onward * step
-            back[:a, t - 1] = grown / grown.sum(axis=1, keepdims=True)
+            onward = local[begin[t] : begin[t + 1]] * back[begin[t] : begin[t + 1]]
+            grown = onward @ go.T
+            before = ahead[begin[t - 1] : begin[t - 1] + alive[t]]
+            pairs += ((before / (before * grown).sum(axis=1, keepdims=True)).T @ onward) * go
+            back[begin[t - 1] : begin[t - 1] + alive[t]] = grown / grown.sum(axis=1, keepdims=True)
         unary = ahead * back
-        unary /= np.maximum(unary.sum(axis=2, keepdims=True), 1e-300)
-        return unary, pairs
+        return (unary / unary.sum(axis=1, keepdims=True)).astype(np.float32), pairs, normal
 
     # decoding
 
@@ -169,3 +194,36 @@ class Chain:
             for r, i in enumerate(block):
                 out[i] = path[r, : len(numbers[i])]
         return out
+
+
+def lbfgs(value: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, rounds: int, memory: int = 8) -> np.ndarray:
+    """Minimises ``value`` (which gives the gradient too) with a limited-memory quasi-Newton method."""
+    f, g = value(x)
+    past: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(rounds):
+        q, alphas = g.copy(), []
+        for s, y, rho in reversed(past):
+            alphas.append(rho * (s @ q))
+            q -= alphas[-1] * y
+        if past:
+            s, y, _ = past[-1]
+            q *= (s @ y) / (y @ y)
+        else:
+            q /= max(float(np.abs(g).sum()), 1e-12)
+        for (s, y, rho), alpha in zip(past, reversed(alphas)):
+            q += (alpha - rho * (y @ q)) * s
+        slope, length = float(g @ q), 1.0
+        while True:
+            new = x - length * q
+            nf, ng = value(new)
+            if nf <= f - 1e-4 * length * slope or length < 1e-6:
+                break
+            length /= 2
+        s, y = new - x, ng - g
+        done = abs(f - nf) < 1e-6 * max(1.0, abs(f))
+        x, f, g = new, nf, ng
+        if float(s @ y) > 1e-10:
+            past = [*past, (s, y, 1.0 / float(s @ y))][-memory:]
+        if done:
+            break
+    return x

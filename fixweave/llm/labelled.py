@@ -44,6 +44,9 @@ Le dossier mentionne {ID}. {SENT}
 En el expediente consta {ID}.
 En el expediente consta {ID}. {SENT}
 The witness lives at {ADDR} and saw the turn.
+{SENT} The witness lives at {ADDR} and saw the turn.
+The witness stayed at {ADDR} and left at noon.
+{SENT} The survey team stayed at {ADDR} that week. {SENT}
 Deliver the manual to {ADDR}.
 Deliver the manual to {ADDR}. {SENT}
 Paper charts are mailed to {ADDR}.
@@ -99,6 +102,12 @@ Regards,\n{NAME} | {EMAIL}
 {SENT}\n{NAME}\n{PHONE}\n{ADDR}
 {SENT}\n{NAME}\n{EMAIL}
 {SENT}\n{NAME}\n{ADDR}
+{SENT}\n\n{NAME}\n{EMAIL}
+{SENT}\n\n{NAME}\n{PHONE}\n{EMAIL}
+{SENT}\n\n{NAME}, {ADDR}, {PHONE}
+{SENT}\n\n{NAME} | {EMAIL} | {PHONE}
+{SENT}\n\n\n{NAME}, {EMAIL}
+{SENT}\n\n\n{NAME} | {ADDR}
 {SENT}\n{NAME}, {EMAIL}, {ADDR}, {PHONE}
 Once again: {LOWSENT}
 {SENT} {SENT}
@@ -112,6 +121,10 @@ Traffic from {PLACE} joins the same track at {FIX}, usually above {ALT} feet.
 Frequency {FREQ} is shared with {PLACE}.
 Weather at {PLACE} was reported as broken clouds with light rain and a wind of {N} knots.
 Standby power at {PLACE} was tested, and the localizer came back after {N} minutes.
+In cycle {N4}, traffic from {PLACE} joins the same track at {FIX}, usually above {ALT} feet.
+As in item {N2}, weather at {PLACE} was reported as broken clouds with light rain.
+Before runway {N2} opened, traffic from {PLACE} joins the same track at {FIX}.
+By {HOUR}, standby power at {PLACE} was tested, and the same was seen at {PLACE}.
 Simulators at {PLACE} use the same data as the one from {PLACE}.
 The chart from {PLACE} replaces the one from {PLACE}.
 {PLACE} stays closed to night traffic until further notice.
@@ -128,6 +141,11 @@ Taxiway Drive and Terminal Road close at {HOUR}.
 {N4} X 60 feet of asphalt remain usable.
 {SENT} {N4} X 60 feet of asphalt remain usable.
 Cross {FIX} @ {ALT} or above.
+Fly over {CODE}@{N2}.{N1} and continue.
+Pass {FIX} above {ALT} and rejoin {FIX} without descent.
+From {FIX} continue along the {CODE} radial to {FIX} before the second turn.
+After {FIX} fly heading {N3} toward {FIX} while climbing to {ALT}.
+Between {FIX} and {FIX} the step down ends near {FIX}.
 Amendment {N1}B took effect in {MONTH} and changed the name of {FIX}.
 The survey of obstacles around J{CODE} was finished in {MONTH} and added {N1} towers.
 As in item {N2}, minimum safe altitude within {N2} miles of {CODE} is {ALT} feet.
@@ -198,9 +216,9 @@ La nota de la carta indica que el punto se movió al este.
 #: Invented or common names, places, streets and mail hosts for the slots.
 GIVEN = "Anna Bruno Clara Diego Elsa Felix Gina Hugo Irene Jonas Karin Louis Mara Nils Olga Pablo Quentin Rosa Stefan Tessa Ursula Viktor Wanda Xavier Yvonne Zoltan Aisha Chidi Dmitri Fatima Goran Hiroshi Ingrid Jamal Keiko Lars Mei Nadia Omar Priya Rafael Sven Tomas Uma Vera Willem Ximena Yusuf Zara Ed Bo Ana".split()
 FAMILY = "Abbott Bergstrom Castellano Dunmore Eriksen Falconer Gustafson Hollander Ibarra Jankowski Kellerman Lombardi Mortensen Nakamura Ostrander Petrovic Quiroga Rasmussen Sorensen Tremblay Underhill Valdivia Whitlock Yamamoto Zimmerman Achterberg Blackwood Carmichael Dellacroce Fitzwarren Greenhalgh Hathersage Ironmonger Kowalczyk Longbottom Mbeki Novakova Oyelaran Pemberton Ravensdale Silverberg Thistlewood Vandermeer Wetherby O'Connell O'Hara D'Angelo Smith-Jones Lloyd-Webber Garcia-Lopez de~Witt de~Souza van~Dyke Li Okafor".split()
-TITLES = "Ms Mr Mrs Dr. Capt. Capt. Captain Prof. Ms Mme Sra.".split()
+TITLES = "Ms Mr Mrs Dr. Capt. Capt. Capt. Captain Prof. Ms Mme Sra.".split()
 PLACES = "Amber Hollow|Bracken Point|Castor Plains|Dorrit Ferry Field|Eldon Marsh|Fallow Crossing|Gideon Marwick Airpark|Harlan Voss Memorial Airport|Iron Gulch|Juno Bluff|Kelso Harbor|Lower Marram|Milford Regional|New Tarrow Heights|Old Stannard Ridge|Pine Saddle|Rook Landing|Silas Thorne Field|Tilden Gap|Upper Wick|Vesper Bay|Wester Fold|Marrowdale|Quillmere|Hazel Tor|Ansgar Dell|Merritt Fork|Copper Spur|Rowan Notch|Thane Wold|Tern Flats|Sorrel Furrow|Bramley Brook Field|Corwen Crook|Ashdown County Airport".split("|")
-STREETS = "Birch Hollow|Cedar|Chapel Hill|Dogwood Trail|Elm|Foundry|Granite Ridge|Hickory|Ivy Bank|Kiln|Lantern|Maple Grove|Millstone|North Gate|Orchard|Pewter|Quarter Mile|River Bend|Stone Bridge|Tinker|Upper Meadow|Vine|Walnut|Weaver".split("|")
+STREETS = "Birch Hollow|Cedar|Chapel Hill|Dogwood Trail|Elm|Foundry|Granite Ridge|Hickory|Ivy Bank|Kiln|Lantern|Maple Grove|Millstone|North Gate|Orchard|Pewter|Quarter Mile|River Bend|Stone Bridge|Tinker|Upper Meadow|Vine|Walnut|Weaver|Old Mill|Old Post|High|Church Hill|Sunny Bank|Long Meadow|Old Station".split("|")
 WAYS = "Street Road Rd Lane Ave Avenue Blvd St. Court Drive Terrace Way Place".split()
 CITIES = "Ashford Bellmere Cranfield Dunwich Eastbrook Fairhaven Glenrock North~Haven Port~Linden West~Abbot Marsh~End".split()
 RUES = "des Tilleuls|de la Gare|du Vieux Pont|des Lilas Blancs|de l'Église|du Marché".split("|")
@@ -316,22 +334,55 @@ def literal_words(reach: int = 3) -> set[str]:
     return {w.lower() for w in near}
 
 
-def examples(fills: int = 6, seed: int = 11) -> list[tuple[str, list[tuple[int, int, str]]]]:
-    """Texts with the (start, end, kind) of their personal data."""
+def _fill(r: random.Random, line: str) -> tuple[str, list[tuple[int, int, str]]]:
+    text, spans = "", []
+    for part in re.split(r"(\{\w+\})", line.replace("\\n", "\n")):
+        slot = part[1:-1] if part.startswith("{") else None
+        if slot in LABELS:
+            value = LABELS[slot](r)
+            spans.append((len(text), len(text) + len(value), KINDS[slot]))
+            text += value
+        elif slot:
+            text += PLAIN[slot](r)
+        else:
+            text += part
+    return text, spans
+
+
+def _restyled(r: random.Random, text: str) -> str:
+    """Plain text as documents also write it: titled, in capitals or small letters, quoted or marked."""
+    kind = r.random()
+    if kind < 0.06:
+        return text.title()
+    if kind < 0.1:
+        return text.upper()
+    if kind < 0.12:
+        return text.lower()
+    if kind < 0.15:
+        words = text.split(" ")
+        return "> " + " ".join(words[: len(words) // 2]) + "\n> " + " ".join(words[len(words) // 2 :])
+    return f"**{text}**" if kind < 0.17 else text
+
+
+def examples(fills: int = 8, seed: int = 11) -> list[tuple[str, list[tuple[int, int, str]]]]:
+    """Texts with the (start, end, kind) of their personal data: every labelled line, ``fills``
+    times, among lines without any, as in a document."""
     r = random.Random(seed)
+    plain = [x for x in LINES if not any(f"{{{k}}}" in x for k in LABELS)] + SENTENCES
     out = []
     for line in LINES:
-        for _ in range(fills):
+        labelled = line not in plain
+        for _ in range(fills if labelled else 1):
+            parts = [r.choice(plain) for _ in range(r.randint(0, 3))] + [line] + [r.choice(plain) for _ in range(r.randint(0, 2))]
+            joint = r.choice([" ", "\n", "\n\n"])
             text, spans = "", []
-            for part in re.split(r"(\{\w+\})", line.replace("\\n", "\n")):
-                slot = part[1:-1] if part.startswith("{") else None
-                if slot in LABELS:
-                    value = LABELS[slot](r)
-                    spans.append((len(text), len(text) + len(value), KINDS[slot]))
-                    text += value
-                elif slot:
-                    text += PLAIN[slot](r)
-                else:
-                    text += part
+            for k, x in enumerate(parts):
+                more, own = _fill(r, x)
+                if not own:
+                    more = _restyled(r, more)
+                if k:
+                    text += joint if r.random() < 0.8 else r.choice(["\n", "\n\n", " "])
+                spans += [(s + len(text), e + len(text), kind) for s, e, kind in own]
+                text += more
             out.append((text, spans))
     return out

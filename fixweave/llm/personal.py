@@ -27,6 +27,13 @@ PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "identity_number": "[ID_
 #: Least share of all words of which the corpus's way of writing is learnt: at most 1 / share words.
 CASE_SHARE = 5e-6
 
+#: Words of streets, for the exact check of an address.
+_STREET = re.compile(
+    r"\b(street|st|road|rd|lane|ln|avenue|ave|boulevard|blvd|court|ct|drive|dr|terrace|way|place|pl|square|sq|crescent|close|row|walk|parkway|pkwy|highway|hwy|alley|circle|trail"
+    r"|rue|chemin|allée|impasse|quai|calle|avenida|camino|paseo|plaza|carrera)\b",
+    re.I,
+)
+
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _DIGIT = re.compile(r"[0-9]")
 
@@ -83,7 +90,7 @@ def tokens_of(text: str) -> tuple[list[str], list[tuple[int, int]]]:
     return [t for t, _ in found], [s for _, s in found]
 
 
-def train(cases: dict[str, str], fills: int = 6, seed: int = 11) -> Chain:
+def train(cases: dict[str, str], fills: int = 8, seed: int = 11) -> Chain:
     """The tagger from the labelled table (``examples``), with the corpus's ways of writing."""
     labels = ["O", *(f"{p}-{k}" for k in KINDS.values() for p in "BI")]
     rows = examples(fills, seed)
@@ -131,7 +138,7 @@ def _valid(kind: str, text: str) -> bool:
     if kind == "identity_number":
         return digits >= 5
     if kind == "street_address":
-        return digits >= 1 and bool(re.search(r"[^\W\d_]{3}", text))
+        return digits >= 1 and bool(_STREET.search(text))
     return bool(re.search(r"[^\W\d_]{2}", text)) and not digits
 
 
@@ -173,7 +180,7 @@ def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def find_personal(df: DataFrame, key: str, text: str = "text", fills: int = 6, seed: int = 11, share: float = CASE_SHARE) -> DataFrame:
+def find_personal(df: DataFrame, key: str, text: str = "text", fills: int = 8, seed: int = 11, share: float = CASE_SHARE) -> DataFrame:
     """Each text with placeholders for its personal data, and the kinds found (sorted, once each).
 
     ``fills`` bounds the labelled rows. Null texts come out empty without kinds, empty texts

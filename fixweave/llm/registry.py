@@ -11,6 +11,7 @@ from ..session import read_table
 from .encoding import repair_encoding
 from .leaks import find_leaks
 from .mixing import mix_sources
+from .personal import find_personal
 from .scans import clean_scans
 
 
@@ -60,6 +61,16 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mix(spark, folder).report
 
 
+def p8_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with typed placeholders for its personal data, and the kinds found."""
+    return find_personal(read_table(spark, folder, "documents"), "doc_id")
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document's kinds of personal data."""
+    return p8_redacted(spark, folder).select("doc_id", F.explode("kinds").alias("pii_kind"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p3_repaired": p3_repaired,
@@ -69,6 +80,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_items": p6_items,
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
+    "p8_found": p8_found,
+    "p8_redacted": p8_redacted,
 }
 
 _LEAKS = """
