@@ -30,7 +30,7 @@ def _fields(schema: str) -> str:
 def json_objects(spark: SparkSession, directory: str) -> DataFrame:
     """One object per file: ``sid`` (the file's name), ``record`` as a variant, ``has_output``.
 
-    Unreadable, cut off, empty and literally null files have no output; every file has a row.
+    Unreadable, cut off and literally null files have no output; files of no bytes have no row, as if they were absent.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(directory)
     text = files.select(F.regexp_extract("path", r"([^/]+)\.json$", 1).alias("sid"), F.try_parse_json(F.decode("content", "UTF-8")).alias("record"))
