@@ -111,7 +111,8 @@ def train(cases: dict[str, str], fills: int = 8, seed: int = 11) -> Chain:
     profiles = {w: case_profile(*n) for w, n in own.items() if sum(n) >= 3}
     features = Features(literal_words(), profiles)
     chain = Chain(labels, features).fit(sequences, tags)
-    chain.features = Features(features.literal, cases)
+    # words that the corpus hardly has keep the profile of the table
+    chain.features = Features(features.literal, {**profiles, **cases})
     return chain
 
 

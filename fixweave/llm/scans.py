@@ -262,7 +262,7 @@ class Cleaner:
         left_own, right_own = (self.s.pairs[f"{left} {core}"] if left else 0), (self.s.pairs[f"{core} {right}"] if right else 0)
         best: tuple[float, str] | None = None
         for edits, minus, candidate in self._candidates(core):
-            if -minus < COMMONER * have or candidate[0].islower() and core[0].isupper() and core[1:].islower() and have:
+            if -minus < COMMONER * have or core[0].islower() and candidate[0].isupper() or candidate[0].islower() and core[0].isupper() and core[1:].islower() and have:
                 continue
             a = self.s.pairs[f"{left} {candidate}"] if left else 0
             b = self.s.pairs[f"{candidate} {right}"] if right else 0
