@@ -47,6 +47,12 @@ def shape(token: str) -> str:
     return re.sub(r"[0-9]", "9", token.strip(".,;:\"'") or token)
 
 
+def broken_at_end(line: str) -> re.Match | None:
+    """The part of a word that a mark breaks off at the line's end."""
+    end = line.rstrip(" \t")
+    return _BROKEN.search(line) if end and end[-1] in MARKS else None
+
+
 def lines_of(text: str) -> list[str]:
     return _LINE.split(text)
 
@@ -96,11 +102,17 @@ class Statistics:
         self.begins: Counter = Counter()
         self.ends: Counter = Counter()
         self.alone: Counter = Counter()
+        self.forms: dict[str, str] = {}
 
     def form(self, token: str) -> str:
         """A known word itself, any other by the kinds of its letters."""
-        s = shape(token)
-        return s if s in self.words else re.sub(r"[a-z]+", "a", re.sub(r"[A-Z]+", "A", s))
+        if (hit := self.forms.get(token)) is None:
+            s = shape(token)
+            hit = s if s in self.words else re.sub(r"[a-z]+", "a", re.sub(r"[A-Z]+", "A", s))
+            if len(self.forms) > 200_000:
+                self.forms.clear()
+            self.forms[token] = hit
+        return hit
 
     def count(self, text: str, counters: dict[str, Counter]) -> None:
         pairs, begins, ends, alone = (counters.setdefault(k, Counter()) for k in ("pair", "begin", "end", "alone"))
@@ -110,7 +122,7 @@ class Statistics:
             if not forms:
                 continue
             # parts of a broken word are no words
-            first, broken = broken, bool(_BROKEN.search(line))
+            first, broken = broken, bool(broken_at_end(line))
             forms = forms[1 if first else 0 : len(forms) - (1 + (forms[-1] in MARKS) if broken else 0)]
             found = [f"{a} {b}" for a, b in zip(forms, forms[1:])]
             pairs.update(found)
@@ -143,6 +155,7 @@ class Cleaner:
         self.trie = Trie(self.vocabulary)
         self.log: list[tuple[str, str, str | None, str | None]] | None = None
         self.near: dict[str, list[tuple[int, int, str]]] = {}
+        self.read: dict[tuple[str, str | None, str | None], str] = {}
 
     # page furniture
 
@@ -159,8 +172,14 @@ class Cleaner:
         tokens = line.split()
         forms = [self.s.form(t) for t in tokens]
         kind = "page_number" if self._page_number(line) else "running_header"
-        if _BROKEN.search(line) and re.search(r"[^\W\d_][ \t]?.[ \t]*$", line):
+        if broken_at_end(line) and re.search(r"[^\W\d_][ \t]?.[ \t]*$", line):
             return ""
+        if before and kind == "running_header" and (cut := broken_at_end(before)):
+            # after a broken word the text goes on with its other part, here or in the next line
+            if self._joins(cut.group(1), tokens[0]) or tokens[0][0].islower():
+                return ""
+            if after and self._joins(cut.group(1), after):
+                return kind
         if len(forms) == 1:
             if kind == "page_number" and tokens[0].strip("[](){}<>~|") != tokens[0]:
                 return kind
@@ -184,7 +203,7 @@ class Cleaner:
         if kind == "page_number" and not self.s.pairs[first]:
             return kind
         # a line no one else has: the text must go on across it and not into or out of it
-        if before and _BROKEN.search(before):
+        if before and broken_at_end(before):
             return ""
         known = sum(self.s.pairs[f"{a} {b}"] > 0 for a, b in zip(forms, forms[1:]))
         if known * 2 < len(forms) - 1 and self._linked(before, after) and not self._linked(before, tokens[0]) and not self._linked(tokens[-1], after):
@@ -204,6 +223,9 @@ class Cleaner:
     def _known(self, token: str) -> int:
         return self.s.words[shape(token)]
 
+    def _joins(self, left: str, right: str) -> bool:
+        return bool(self._known(left + right) or self._known(f"{left}-{right}") or self._candidates((left + right).strip(_EDGE_MARKS)))
+
     def join(self, left: str, right: str) -> tuple[str, bool]:
         """Two parts of a word over a line's end, and whether the mark between them was no part of it."""
         joined, compound = left + right, f"{left}-{right}"
@@ -250,8 +272,19 @@ class Cleaner:
         return digits if len(core) >= 2 and asked and not have and (mixed and asked * 2 > named or asked >= BETTER * max(named, 0.5)) else None
 
     def word(self, token: str, before: str | None, after: str | None, names: frozenset[str]) -> str:
+        """The word as it should read between its neighbours; ``names`` are right as they are."""
+        if token.isdigit() or names and token.strip(_EDGE_MARKS) in names:
+            return token
+        key = (token, self.s.form(before) if before else None, self.s.form(after) if after else None)
+        if (hit := self.read.get(key)) is None:
+            if len(self.read) > 500_000:
+                self.read.clear()
+            hit = self.read[key] = self._word(token, before, after)
+        return hit
+
+    def _word(self, token: str, before: str | None, after: str | None) -> str:
         core = token.strip(_EDGE_MARKS)
-        if not core or core in names:
+        if not core:
             return token
         if (fixed := self._number(core, before, after)) is not None:
             return token.replace(core, fixed, 1)
@@ -316,7 +349,7 @@ class Cleaner:
             if not tokens:
                 continue
             paragraphs[-1] += tokens
-            m = _BROKEN.search(lines[i])
+            m = broken_at_end(lines[i])
             if m and i != filled[-1]:
                 if paragraphs[-1][-1] in MARKS and len(paragraphs[-1]) > 1:
                     paragraphs[-1].pop()
