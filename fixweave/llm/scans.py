@@ -198,7 +198,7 @@ class Cleaner:
             return kind if drop > keep or drop == keep and len(tokens[0]) <= 3 else ""
         first, last = f"{forms[0]} {forms[1]}", f"{forms[-2]} {forms[-1]}"
         begins, ends = self.s.begins[first], self.s.ends[last]
-        if min(begins, ends) >= 3 and begins >= EDGE * self.s.pairs[first] and (kind == "page_number" or ends >= EDGE * self.s.pairs[last]):
+        if begins >= 3 and begins >= EDGE * self.s.pairs[first] and (kind == "page_number" or ends >= 3 and ends >= EDGE * self.s.pairs[last]):
             return kind
         if kind == "page_number" and not self.s.pairs[first]:
             return kind
@@ -224,7 +224,13 @@ class Cleaner:
         return self.s.words[shape(token)]
 
     def _joins(self, left: str, right: str) -> bool:
-        return bool(self._known(left + right) or self._known(f"{left}-{right}") or self._candidates((left + right).strip(_EDGE_MARKS)))
+        """Whether the parts make a known word, or nearly one that the second part isn't by itself."""
+        if self._known(left + right) or self._known(f"{left}-{right}"):
+            return True
+        if left[-1:].islower() and right[:1].isupper():
+            return False
+        whole, part = (left + right).strip(_EDGE_MARKS), right.strip(_EDGE_MARKS)
+        return any(w != part and edits <= 2 for edits, _, w in self._candidates(whole))
 
     def join(self, left: str, right: str) -> tuple[str, bool]:
         """Two parts of a word over a line's end, and whether the mark between them was no part of it."""
