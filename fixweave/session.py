@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, Row, SparkSession
 
@@ -20,7 +23,9 @@ def build_session(app: str = "fixweave", master: str | None = None, **conf: str)
         builder = builder.master(master).config("spark.ui.enabled", "false")
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -57,5 +62,24 @@ def collect_bounded(df: DataFrame, bound: int, what: str) -> list[Row]:
     return rows
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per application, so that their Python workers
+    need neither an installation nor the driver's path; executors that join later get it too."""
+    context = spark.sparkContext
+    if getattr(context, "_fixweave_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent).as_posix())
+    # the driver serves the file itself; nothing is read from its disk by others
+    path = Path(tempfile.mkdtemp(prefix="fixweave-")) / "fixweave_package.zip"
+    path.write_bytes(packed.getvalue())
+    context.addPyFile(str(path))
+    context._fixweave_shipped = True
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
