@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import collect_bounded
+from ..session import collect_bounded, materialise
 
 #: Encodings that text is read in by mistake.
 WRONG = ("cp1252", "latin_1", "iso8859_15", "cp437", "cp850", "mac_roman", "cp1251")
@@ -261,8 +261,9 @@ def known_words(df: DataFrame, text: str, share: float = KNOWN_SHARE) -> dict[st
     """
     words = df.where(F.col(text).rlike(r"[^\x00-\x7f]")).select(F.explode(F.split(text, r"[ \t\r\n]+")).alias("w"))
     counts = words.where(F.col("w").rlike(r"[^\x00-\x7f]")).groupBy(F.regexp_replace("w", "[0-9]+", "9").alias("w")).agg(F.count("*").alias("n"))
-    total = F.broadcast(counts.agg(F.sum("n").alias("total")))
-    kept = counts.crossJoin(total).where((F.col("n") >= 2) & (F.col("n") >= F.col("total") * share)).select("w", "n")
+    counts = materialise(counts, "word-counts")  # used twice
+    total = counts.agg(F.sum("n").alias("n")).first().n or 0
+    kept = counts.where((F.col("n") >= 2) & (F.col("n") >= total * share))
     return {r.w: r.n for r in collect_bounded(kept, int(1 / share) + 1, "known words")}
 
 

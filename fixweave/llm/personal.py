@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import collect_bounded
+from ..session import collect_bounded, materialise
 from .crf import Chain
 from .labelled import KINDS, examples, literal_words
 
@@ -124,8 +124,9 @@ def corpus_cases(df: DataFrame, text: str, share: float = CASE_SHARE) -> dict[st
     kind = F.when(F.col("w") == low, "l").when((F.length("w") > 1) & (F.col("w") == F.upper("w")), "u").otherwise("t")
     # a word in lower case beside no sentence still counts once per form: three sums per word
     counts = bare.select(low.alias("word"), kind.alias("kind")).groupBy("word").agg(*[F.sum(F.when(F.col("kind") == k, 1).otherwise(0)).alias(k) for k in "ltu"])
-    total = F.broadcast(counts.agg(F.sum(F.col("l") + F.col("t") + F.col("u")).alias("total")))
-    kept = counts.crossJoin(total).where((F.col("l") + F.col("t") + F.col("u")) >= F.greatest(F.lit(3), F.col("total") * share)).select("word", "l", "t", "u")
+    counts = materialise(counts.withColumn("n", F.col("l") + F.col("t") + F.col("u")), "word-cases")  # used twice
+    total = counts.agg(F.sum("n").alias("n")).first().n or 0
+    kept = counts.where(F.col("n") >= max(3, total * share))
     return {r.word: case_profile(r.l, r.t, r.u) for r in collect_bounded(kept, int(1 / share) + 1, "words of the corpus")}
 
 

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import collect_bounded
+from ..session import collect_bounded, materialise
 from .lexicon import Trie
 
 #: Least share of all words that makes a word known; words in capitals (names, codes) need more.
@@ -80,8 +80,9 @@ def _count(df: DataFrame, text: str, count, limit: int = 200_000) -> DataFrame:
 
 def _above(counts: DataFrame, share: float, what: str) -> dict[str, Counter]:
     """Entries seen three times or more with at least ``share`` of their kind; at most 1 / share of each kind."""
-    total = F.broadcast(counts.groupBy("kind").agg(F.sum("n").alias("total")))  # a handful of kinds
-    kept = counts.join(total, "kind").where((F.col("n") >= 3) & (F.col("n") >= F.col("total") * share)).select("kind", "entry", "n")
+    totals = {r.kind: r.n for r in counts.groupBy("kind").agg(F.sum("n").alias("n")).collect()}  # a handful of kinds
+    least = F.coalesce(*[F.when(F.col("kind") == k, F.lit(max(3.0, n * share))) for k, n in totals.items()], F.lit(3.0))
+    kept = counts.where(F.col("n") >= least)
     out: dict[str, Counter] = {}
     for r in collect_bounded(kept, 8 * int(1 / share), what):
         out.setdefault(r.kind, Counter())[r.entry] = r.n
@@ -135,13 +136,13 @@ class Statistics:
 
 
 def corpus_statistics(df: DataFrame, text: str) -> Statistics:
-    counts = _count(df, text, _count_words)
-    # both figures come from one pass: the sum over all and the entries above their share
+    counts = materialise(_count(df, text, _count_words), "word-counts")  # used twice
     total = counts.agg(F.sum("n").alias("n")).first().n or 0
     words = _above(counts, WORD_SHARE, "known words").get("word", Counter())
     stats = Statistics(words, total)
     shared = df.sparkSession.sparkContext.broadcast(stats)
-    found = _above(_count(df, text, lambda t, c: shared.value.count(t, c)), PAIR_SHARE, "known pairs")
+    pairs = materialise(_count(df, text, lambda t, c: shared.value.count(t, c)), "pair-counts")
+    found = _above(pairs, PAIR_SHARE, "known pairs")
     stats.pairs, stats.begins, stats.ends, stats.alone = (found.get(k, Counter()) for k in ("pair", "begin", "end", "alone"))
     return stats
 
