@@ -77,12 +77,17 @@ def waypoints(text: Column, rules: Rules = Rules()) -> Column:
     return F.array_distinct(F.filter(found, lambda w: (F.length(w) == 5) & ~F.array_contains(common, w)))
 
 
-def holding_fix(text: Column, rules: Rules = Rules()) -> Column:
-    """The first pattern's fix that is no common word, else the first waypoint; null without a hold."""
+def holding_fix(text: Column, rules: Rules = Rules(), points: Column | None = None) -> Column:
+    """The first pattern's fix that is no common word, else the first waypoint; null without a hold.
+
+    ``points`` are the text's waypoints where they are known already.
+    """
     upper = F.upper(text)
-    found = [F.regexp_extract(upper, p, 1) for p in rules.hold_fixes]
-    named = F.coalesce(*[F.when((f != "") & ~f.isin(*rules.no_fix), f) for f in found], F.try_element_at(waypoints(text, rules), F.lit(1)))
-    return F.when(holds(text), named)
+    found = F.array(*[F.regexp_extract(upper, p, 1) for p in rules.hold_fixes])
+    common = F.array(*[F.lit(w) for w in rules.no_fix])
+    named = F.filter(found, lambda f: (f != "") & ~F.array_contains(common, f))
+    first = F.try_element_at(F.concat(named, waypoints(text, rules) if points is None else points), F.lit(1))
+    return F.when(holds(text), first)
 
 
 def record(text: Column, rules: Rules = Rules()) -> dict[str, Column]:
@@ -105,33 +110,45 @@ def other_line(line: Column, rules: Rules = Rules()) -> Column:
     return (upper == "") | (upper.rlike(FREQUENCY) & ~upper.rlike(ACTION)) | marked
 
 
-def instruction_of_lines(lines: Column, rules: Rules = Rules(), before: int = 2, after: int = 10) -> Column:
-    """The instruction among a page's lines.
+def page_instructions(df: DataFrame, lines: Column, keep: Sequence[str], rules: Rules = Rules(), before: int = 2, after: int = 10) -> DataFrame:
+    """``keep`` and ``instruction``, the instruction among a page's lines; empty if there is none.
 
     Each heading is an anchor (without any, the first line that mentions a climb); the
     lines around it that belong to the instruction are joined and cut at the first other
     service; the candidate with most headings, actions and fixes wins, the first of equals.
+    Every line is matched once, in a step of its own.
     """
-    clean = F.transform(lines, clean_line)
-    numbered = F.transform(clean, lambda x, i: F.struct(i.alias("i"), x.alias("t")))
-    headed = F.filter(numbered, lambda x: x["t"].rlike(HEADING))
-    broad = F.slice(F.filter(numbered, lambda x: x["t"].rlike(BROAD)), 1, 1)
-    anchors = F.transform(F.when(F.size(headed) > 0, headed).otherwise(broad), lambda x: x["i"])
+    clean = df.select(*keep, F.transform(lines, clean_line).alias("__fw_lines"))
+
+    def marked(x: Column, i: Column) -> Column:
+        upper = F.upper(x)
+        return F.struct(i.alias("i"), x.alias("t"), upper.rlike(HEADING).alias("head"), upper.rlike(ACTION).alias("act"), upper.rlike(FIX).alias("fix"), other_line(x, rules).alias("other"))
+
+    numbered = clean.select(*keep, F.transform("__fw_lines", marked).alias("__fw_n"))
+    headed = F.filter("__fw_n", lambda x: x["head"])
+    broad = F.slice(F.filter("__fw_n", lambda x: x["t"].rlike(BROAD)), 1, 1)
+    anchors = F.transform(F.when(F.exists("__fw_n", lambda x: x["head"]), headed).otherwise(broad), lambda x: x["i"])
+    anchored = numbered.select(*keep, "__fw_n", anchors.alias("__fw_a"))
 
     def candidate(at: Column) -> Column:
-        near = F.filter(numbered, lambda x: (x["i"] >= at - before) & (x["i"] < at + after))
-        own = F.filter(
-            near,
-            lambda x: ~other_line(x["t"], rules)
-            & ((x["i"] == at) | F.upper(x["t"]).rlike(HEADING) | F.upper(x["t"]).rlike(ACTION) | ((x["i"] > at) & F.upper(x["t"]).rlike(FIX))),
-        )
+        near = F.slice("__fw_n", F.greatest(at - before, F.lit(0)) + 1, F.lit(before + after))
+        own = F.filter(near, lambda x: ~x["other"] & (x["i"] < at + after) & ((x["i"] == at) | x["head"] | x["act"] | ((x["i"] > at) & x["fix"])))
         joined = F.array_join(F.transform(own, lambda x: x["t"]), " ")
-        text = strip(F.element_at(F.split(joined, r"(?i)\b(?:" + "|".join(CUTS) + r")\b", 2), 1))
+        return strip(F.element_at(F.split(joined, r"(?i)\b(?:" + "|".join(CUTS) + r")\b", 2), 1))
+
+    texts = anchored.select(*keep, F.transform("__fw_a", candidate).alias("__fw_t"))
+
+    def scored(text: Column, k: Column) -> Column:
         score = F.when(text.rlike(HEADING), 3).otherwise(0) + F.regexp_count(text, F.lit(ACTION)) + 2 * F.regexp_count(text, F.lit(FIX))
-        return F.struct(score.alias("score"), (-at).alias("order"), text.alias("text"))
+        return F.struct(score.alias("score"), (-k).alias("order"), text.alias("text"))
 
-    return F.coalesce(F.array_max(F.transform(anchors, candidate))["text"], F.lit(""))
+    best = F.array_max(F.transform("__fw_t", scored))["text"]
+    return texts.select(*keep, F.coalesce(best, F.lit("")).alias("instruction"))
 
 
 def rule_records(df: DataFrame, text: str, keep: Sequence[str], rules: Rules = Rules()) -> DataFrame:
-    return df.select(*keep, *[c.alias(n) for n, c in record(F.col(text), rules).items()])
+    """``keep`` and the canonical record of each text; waypoints are found once for both uses."""
+    made = record(F.coalesce(F.col(text), F.lit("")), rules)
+    found = df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__fw_text"), made["waypoints"].alias("waypoints"))
+    made = record(F.col("__fw_text"), rules) | {"waypoints": F.col("waypoints"), "holding_fix": holding_fix(F.col("__fw_text"), rules, F.col("waypoints"))}
+    return found.select(*keep, *[c.alias(n) for n, c in made.items()])

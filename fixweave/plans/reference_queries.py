@@ -116,7 +116,7 @@ def q_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 def q_page_instruction(spark: SparkSession, folder: str) -> DataFrame:
     rows = read_table(spark, folder, "path_a").where(F.col("raw_instruction").isNotNull())
-    return rows.select("rec_id", X.instruction_of_lines(F.split("raw_instruction", r"\r?\n")).alias("instruction"))
+    return X.page_instructions(rows, F.split("raw_instruction", r"\r?\n"), ["rec_id"])
 
 
 def q_clean_line(spark: SparkSession, folder: str) -> DataFrame:

@@ -110,6 +110,22 @@ def _copy(table: str) -> str:
     return f"SELECT chart_no, {_NUMBER_FORM} AS f1, {_FORM('turn_direction')} AS f2, {_FORM('holding_fix')} AS f3, list_transform(waypoints, lambda w: {_FORM('w')}) AS f4 FROM {_latest(table)}"
 
 
+_CUT = r"(?i)\b(?:" + "|".join(X.CUTS) + r")\b"
+_OTHER = f"(t = '' OR (regexp_matches(upper(t), '{X.FREQUENCY}') AND NOT regexp_matches(upper(t), '{X.ACTION}')) OR " + " OR ".join(f"contains(upper(t), '{m}')" for m in X.OTHER_LINES) + ")"
+_PAGE = f"""
+WITH l AS (SELECT rec_id, list_transform(string_split_regex(raw_instruction, '\\r?\\n'), lambda x: regexp_replace(regexp_replace(translate(x, '°Å', '  '), '{_WHITE}+', ' ', 'g'), '^ | $', '', 'g')) AS ls
+           FROM path_a WHERE raw_instruction IS NOT NULL),
+n AS (SELECT rec_id, unnest(ls) AS t, generate_subscripts(ls, 1) - 1 AS i FROM l),
+h AS (SELECT rec_id, i AS anchor FROM n WHERE regexp_matches(t, '{X.HEADING}')),
+a AS (SELECT * FROM h UNION ALL SELECT rec_id, min(i) FROM n WHERE regexp_matches(t, '{X.BROAD}') AND rec_id NOT IN (SELECT rec_id FROM h) GROUP BY rec_id),
+own AS (SELECT a.rec_id, a.anchor, n.i, n.t FROM a JOIN n ON n.rec_id = a.rec_id AND n.i BETWEEN a.anchor - 2 AND a.anchor + 9
+        WHERE NOT {_OTHER} AND (n.i = a.anchor OR regexp_matches(upper(t), '{X.HEADING}') OR regexp_matches(upper(t), '{X.ACTION}') OR (n.i > a.anchor AND regexp_matches(upper(t), '{X.FIX}')))),
+c AS (SELECT a.rec_id, a.anchor, {_strip(f"string_split_regex(coalesce(string_agg(own.t, ' ' ORDER BY own.i), ''), '{_CUT}')[1]")} AS text
+      FROM a LEFT JOIN own USING (rec_id, anchor) GROUP BY a.rec_id, a.anchor),
+best AS (SELECT rec_id, text FROM c QUALIFY row_number() OVER (PARTITION BY rec_id ORDER BY
+      (CASE WHEN regexp_matches(text, '{X.HEADING}') THEN 3 ELSE 0 END) + len(regexp_extract_all(text, '{X.ACTION}')) + 2 * len(regexp_extract_all(text, '{X.FIX}')) DESC, anchor) = 1)
+SELECT l.rec_id, coalesce(best.text, '') AS instruction FROM l LEFT JOIN best USING (rec_id)"""
+
 _EVENTS = "row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn"
 
 SQL: dict[str, str] = {
@@ -152,6 +168,7 @@ FROM a LEFT JOIN idx ON a.airport = idx.airport AND a.proc_ident = idx.proc_iden
 array_to_string({_ORDERED.format(_RULE_WPS)}, ' ') AS waypoints, CASE WHEN regexp_matches(t, '{X.LEFT}') THEN 'LEFT' WHEN regexp_matches(t, '{X.RIGHT}') THEN 'RIGHT' ELSE 'NONE' END AS turn_direction,
 regexp_matches(t, '{X.HOLD}') AS holding_required, CASE WHEN regexp_matches(t, '{X.HOLD}') THEN coalesce({_HOLD_FIXES}, ({_RULE_WPS})[1]) END AS holding_fix
 FROM (SELECT rec_id, coalesce(raw_instruction, '') AS t FROM path_a)""",
+    "q_page_instruction": _PAGE,
     "q_clean_line": f"SELECT rec_id, regexp_replace(regexp_replace(translate(raw_instruction, '°Å', '  '), '{_WHITE}+', ' ', 'g'), '^ | $', '', 'g') AS line FROM path_c",
     "q_json_response": """SELECT raw_no, coalesce(json_valid(payload), false) AS parsed, CASE WHEN json_valid(payload) THEN json_extract_string(payload, '$.turn_trigger') END AS turn_trigger FROM path_b""",
     "q_questionnaire": "SELECT raw_no, "

@@ -27,7 +27,7 @@ def test_hold_falls_back_to_the_first_waypoint(spark):
 
 
 def page(spark, lines):
-    return spark.createDataFrame([(lines,)], "l array<string>").select(X.instruction_of_lines(F.col("l"))).first()[0]
+    return X.page_instructions(spark.createDataFrame([(1, lines)], "k int, l array<string>"), F.col("l"), ["k"]).first().instruction
 
 
 def test_page_instruction(spark):
