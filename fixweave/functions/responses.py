@@ -40,9 +40,15 @@ def questionnaire(text: Column, questions: int = 6) -> Column:
     return F.create_map(*pairs)
 
 
+#: How a degree sign and a ring may arrive, and what they stand for.
+SIGNS = (("掳", "°"), ("\\u00b0", "°"), ("Å", " "))
+
+
 def instruction(text: Column) -> Column:
-    body = strip(text)
-    fixed = F.replace(F.replace(F.replace(body, F.lit("掳"), F.lit("°")), F.lit("\\u00b0"), F.lit("°")), F.lit("Å"), F.lit(" "))
+    """The text with its signs mended; "unknown" for an empty one."""
+    body = fixed = strip(text)
+    for sign, meant in SIGNS:
+        fixed = F.replace(fixed, F.lit(sign), F.lit(meant))
     return F.when((body == "") | (F.lower(body) == "unknown"), "unknown").otherwise(fixed)
 
 

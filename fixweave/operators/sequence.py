@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.normalize import leg_altitude, strip
 
+#: Leg types that hold.
 HOLDS = ("HM", "HF", "HA")
 _TEXT = ("trans_ident", "seq_no", "rt_type", "wpt_ident", "alt_desc")
 
