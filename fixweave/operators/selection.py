@@ -37,3 +37,17 @@ def missing_keys(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 def not_done(df: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows whose key has no output yet."""
     return df.join(done.select(key), key, "left_anti")
+
+
+def strict_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """An inner join that loses no row of the left side: a key without a partner is an error."""
+    joined = left.join(right.withColumn("__fw_there", F.lit(True)), key, "left")
+    lost = F.raise_error(F.concat(F.lit("no partner for "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast("boolean")
+    return joined.where(F.coalesce(F.col("__fw_there"), lost)).drop("__fw_there")
+
+
+def expect_rows(df: DataFrame, n: int, what: str) -> DataFrame:
+    """``df``, after making sure that it has ``n`` rows."""
+    if (found := df.count()) != n:
+        raise ValueError(f"{what}: {found} rows, not {n}")
+    return df

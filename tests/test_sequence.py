@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from fixweave.operators import fixed_width, selection, sequence
@@ -73,6 +74,16 @@ def test_selection(spark):
     assert sorted((r.k, r.only_in) for r in both.collect()) == [(0, "left"), (1, "left"), (3, "right"), (4, "right")]
 
 
+def test_strict_join(spark):
+    left, right = spark.createDataFrame([(1, "a"), (2, "b")], "k long, x string"), spark.createDataFrame([(1, "c"), (2, "d"), (3, "e")], "k long, y string")
+    assert sorted((r.k, r.x, r.y) for r in selection.strict_join(left, right, "k").collect()) == [(1, "a", "c"), (2, "b", "d")]
+    with pytest.raises(Exception, match="no partner for 2"):
+        selection.strict_join(left, right.where("k <> 2"), "k").collect()
+    assert selection.expect_rows(left, 2, "left") is left
+    with pytest.raises(ValueError, match="2 rows, not 3"):
+        selection.expect_rows(left, 3, "left")
+
+
 def test_rows(spark):
     df = spark.createDataFrame([("u", t, e) for t, e in enumerate("axbxc")], "u string, t int, e string")
     assert [r.e for r in sequence.after_first(df, "u", ["t"], F.col("e") == "x").orderBy("t").collect()] == ["b", "x", "c"]

@@ -4,10 +4,17 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from fixweave.sources import external, readers, writers
+from fixweave.sources import config, external, readers, writers
 from fixweave.streaming import extract
 
 
+def test_paths(monkeypatch):
+    monkeypatch.setenv("FIXWEAVE_ROOT", "/data/")
+    monkeypatch.setenv("FIXWEAVE_RESULTS", "/out")
+    paths = config.Paths.from_environment()
+    assert (paths.of("charts"), paths.of("results")) == ("/data/charts", "/out")
+
+
 def test_json_files(spark, tmp_path):
     for name, text in {"a": '{"climb_altitude": 3000, "waypoints": ["X"], "holding_fix": ["Y"]}', "b": '{"x":', "c": "null", "d": "", "e": '{"waypoints": "X", "climb_altitude": true}'}.items():
         (tmp_path / f"{name}.json").write_text(text)
