@@ -47,13 +47,14 @@ def _blank_entry(index: StructuralIndex, objects: np.ndarray) -> np.ndarray:
     return index.kind[objects + 1] == OBJ_END
 
 
-def find_entries(texts: list[bytes], name: str, fields: Sequence[str], outer: Sequence[str] = ()) -> tuple[Entries, np.ndarray]:
+def find_entries(texts: list[bytes], name: str, fields: Sequence[str], outer: Sequence[str] = (), key_field: str | None = None) -> tuple[Entries, np.ndarray]:
     """Entries of every list called ``name``, and which texts are well-formed.
 
     A list may be an array (also of arrays), an object whose keys are numbers (taken in
     their order), one object that is itself the entry, or a string that holds any of
     these as JSON. ``fields`` are looked up anywhere inside an entry, those in ``outer``
-    also beside the list that holds it. Nulls and empty objects are no entries.
+    also beside the list that holds it; ``key_field`` is the number an entry is keyed by
+    where it has none itself. Nulls and empty objects are no entries.
     """
     index = StructuralIndex(texts)
     good = index.ok[index.doc] if len(index.doc) else np.zeros(0, bool)
@@ -107,6 +108,10 @@ def find_entries(texts: list[bytes], name: str, fields: Sequence[str], outer: Se
                     while found[i] is None and holder >= 0:
                         found[i] = beside.get(int(holder))
                         holder = index.parent[holder] if found[i] is None and index.kind[holder] == ARR else -1 if index.kind[holder] == OBJ else holder
+        if f == key_field:
+            for i in np.flatnonzero(np.isin(starts, numbered)):
+                if found[i] is None:
+                    found[i] = index.text(starts[i] - 2)
         values[f] = found
     docs = index.doc[starts] if len(starts) else starts
     rows = [(int(d), int(p), r, 0) for d, p, r in zip(docs, places[by_token], ranks[by_token])]
@@ -114,7 +119,7 @@ def find_entries(texts: list[bytes], name: str, fields: Sequence[str], outer: Se
     # lists written as text: the same search inside them
     held = np.flatnonzero(lists & (index.kind == STRING))
     if len(held):
-        inner, _ = find_entries([_nested_list(index.text(t), name) for t in held], name, fields, outer)
+        inner, _ = find_entries([_nested_list(index.text(t), name) for t in held], name, fields, outer, key_field)
         rows += [(int(index.doc[held[d]]), int(held[d]), 0, i) for i, d in enumerate(inner.doc)]
         for f in fields:
             values[f] += inner.values[f]
@@ -179,6 +184,15 @@ def flatten_entries(
     return rows.select(key, number, *[trimmed(F.col(f)).alias(f) for f in fields])
 
 
+def _first_values(index: StructuralIndex, field: str, n: int) -> pa.Array:
+    """The first value under ``field`` in each of ``n`` texts."""
+    value: list[str | None] = [None] * n
+    for t in np.flatnonzero(index.named(field) & index.ok[index.doc] & ~index.opens):
+        if value[index.doc[t]] is None:
+            value[index.doc[t]] = index.text(t)
+    return pa.array(value, pa.string())
+
+
 def _records(body: str, name: str, fields: Sequence[str], carry: Sequence[str]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,13 +200,7 @@ def _records(body: str, name: str, fields: Sequence[str], carry: Sequence[str])
             index = StructuralIndex(texts)
             found, _ = find_entries(texts, name, ())
             count = np.bincount(found.doc, minlength=len(texts)) if len(texts) else np.zeros(0)
-            columns = []
-            for f in fields:
-                value: list[str | None] = [None] * len(texts)
-                for t in np.flatnonzero(index.named(f) & index.ok[index.doc] & ~index.opens):
-                    if value[index.doc[t]] is None:
-                        value[index.doc[t]] = index.text(t)
-                columns.append(pa.array(value, pa.string()))
+            columns = [_first_values(index, f, len(texts)) for f in fields]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in carry), *columns, pa.array(index.ok), pa.array(count, pa.int32())],
                 names=[*carry, *fields, "well_formed", "n_entries"],
@@ -221,3 +229,40 @@ def flatten_records(df: DataFrame, keys: Sequence[str], body: str, typed: str, n
     )
     both = parsed.unionByName(direct)
     return both.select(*keys, *[trimmed(F.col(f)).alias(f) for f in fields], "well_formed", F.greatest("n_entries", F.lit(0)).alias("n_entries"))
+
+
+def _gathered(body: str, name: str, fields: Sequence[str], outer: Sequence[str], key_field: str | None, record: Sequence[str], carry: Sequence[str]) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [(t or "").encode() for t in batch.column(body).to_pylist()]
+            index = StructuralIndex(texts)
+            found, _ = find_entries(texts, name, fields, outer, key_field)
+            starts = np.concatenate(([0], np.cumsum(np.bincount(found.doc, minlength=len(texts)))))
+            entries = pa.StructArray.from_arrays([pa.array(found.values[f], pa.string()) for f in fields], names=list(fields))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in carry), *(_first_values(index, f, len(texts)) for f in record), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), entries), pa.array(index.ok)],
+                names=[*carry, *(f"__fw_{f}" for f in record), "__fw_list", "well_formed"],
+            )
+
+    return run
+
+
+def gather_entries(
+    df: DataFrame, keys: Sequence[str], body: str, typed: str, name: str, fields: Sequence[str], record: Sequence[str], outer: Sequence[str] = (), key_field: str | None = None
+) -> DataFrame:
+    """One row per record: ``keys``, a struct ``typed`` of ``record`` and the list ``name``, and whether it is well-formed.
+
+    The struct is that of the record, or what ``body`` holds in its place, with entries as
+    ``find_entries`` finds them. A text that isn't well-formed, and a record with neither,
+    is kept, not well-formed, without entries. Nothing is shuffled.
+    """
+    entry = T.ArrayType(T.StructType([T.StructField(f, T.StringType()) for f in fields]))
+    texts = df.where(F.col(body).isNotNull()).select(*keys, body)
+    schema = T.StructType([*(texts.schema[k] for k in keys), *(T.StructField(f"__fw_{f}", T.StringType()) for f in record), T.StructField("__fw_list", entry), T.StructField("well_formed", T.BooleanType())])
+    parsed = texts.mapInArrow(_gathered(body, name, fields, outer, key_field, record, keys), schema)
+    parsed = parsed.select(*keys, F.struct(*[F.col(f"__fw_{f}").alias(f) for f in record], F.col("__fw_list").alias(name)).alias(typed), "well_formed")
+    own = F.transform(F.col(f"{typed}.{name}"), lambda e: F.when(e.isNotNull(), F.struct(*[e[f].cast("string").alias(f) for f in fields])))
+    direct = df.where(F.col(body).isNull()).select(
+        *keys, F.struct(*[F.col(f"{typed}.{f}").cast("string").alias(f) for f in record], own.alias(name)).alias(typed), F.col(typed).isNotNull().alias("well_formed")
+    )
+    return parsed.unionByName(direct)

@@ -82,33 +82,48 @@ def _typed_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return read_table(spark, folder, "pairs_100").where(F.col("cifp").isNotNull())
 
 
-def q_procedure_record(spark: SparkSession, folder: str) -> DataFrame:
-    records = sequence.procedure_records(_typed_pairs(spark, folder))
+def procedure_table(pairs: DataFrame, *keep: str) -> DataFrame:
+    records = sequence.procedure_records(pairs, keep=("pair_no", "chart_no", "id", *keep))
     return records.withColumn("waypoints", F.array_join("waypoints", " "))
 
 
-def _lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Every typed leg as a fixed-width line; the turn follows from its place."""
-    legs = _typed_pairs(spark, folder).select("pair_no", "cifp.airport", "cifp.proc_ident", F.posexplode("cifp.legs").alias("p", "leg")).where(F.col("leg").isNotNull())
+def _lines(pairs: DataFrame) -> DataFrame:
+    """Every leg as a fixed-width line; the turn follows from its place."""
+    legs = pairs.select("pair_no", "cifp.airport", "cifp.proc_ident", F.posexplode("cifp.legs").alias("p", "leg")).where(F.col("leg").isNotNull())
     turn = F.element_at(F.array(F.lit("L"), F.lit("R"), F.lit(" ")), (F.pmod(F.col("pair_no") + F.col("p"), F.lit(3)) + 1).cast("int"))
     values = {"airport": F.col("airport"), "proc_ident": N.strip(F.col("proc_ident")), "turn_dir": turn}
     values |= {c: N.strip(F.col(f"leg.{c}")) for c in ("trans_ident", "seq_no", "rt_type")}
     return legs.select("pair_no", "p", (F.col("pair_no") * 1000 + F.col("p")).alias("line_no"), fixed_width.render(fixed_width.APPROACH, values).alias("line"))
 
 
-def q_fixed_width(spark: SparkSession, folder: str) -> DataFrame:
-    return fixed_width.parse(_lines(spark, folder), "line", keep=("pair_no", "p"))
+def line_table(pairs: DataFrame) -> DataFrame:
+    return fixed_width.parse(_lines(pairs), "line", keep=("pair_no", "p"))
 
 
-def q_turn_lookup(spark: SparkSession, folder: str) -> DataFrame:
-    parsed = fixed_width.parse(_lines(spark, folder), "line", keep=("line_no",))
+def turn_table(pairs: DataFrame) -> DataFrame:
+    parsed = fixed_width.parse(_lines(pairs), "line", keep=("line_no",))
     index = fixed_width.first_wins(parsed, ["airport", "proc_ident", "trans_ident", "seq_no"], "turn_dir", "line_no")
-    records = sequence.procedure_records(_typed_pairs(spark, folder)).select("pair_no", "airport", "proc_ident", "transition", "direct_seq")
+    records = sequence.procedure_records(pairs).select("pair_no", "airport", "proc_ident", "transition", "direct_seq")
     found = fixed_width.lookup(records, index, {"airport": "airport", "proc_ident": "proc_ident", "transition": "trans_ident", "direct_seq": "seq_no"}, "turn_dir")
     turn = F.when(F.col("turn_dir") == "L", "LEFT").when(F.col("turn_dir") == "R", "RIGHT").otherwise("NONE")
     return found.select("pair_no", turn.alias("turn_direction"))
 
 
+def q_procedure_record(spark: SparkSession, folder: str) -> DataFrame:
+    """Typed pairs only, as in the SQL; ``p5_records`` has all."""
+    return procedure_table(_typed_pairs(spark, folder))
+
+
+def q_fixed_width(spark: SparkSession, folder: str) -> DataFrame:
+    """Typed pairs only, as in the SQL; ``p5_lines`` has all."""
+    return line_table(_typed_pairs(spark, folder))
+
+
+def q_turn_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    """Typed pairs only, as in the SQL; ``p5_turns`` has all."""
+    return turn_table(_typed_pairs(spark, folder))
+
+
 def q_rules(spark: SparkSession, folder: str) -> DataFrame:
     made = X.rule_records(read_table(spark, folder, "path_a"), "raw_instruction", ["rec_id"])
     return made.drop("raw_instruction").withColumn("waypoints", F.array_join("waypoints", " "))
