@@ -1,7 +1,8 @@
 """Noise in text from scanned pages: broken words, misread characters, page furniture.
 
-Three passes over the whole table, each pre-aggregated where the rows are: counts of words,
-then counts of neighbouring words and of how lines begin and end, then the repair. Only
+Three passes, each pre-aggregated where the rows are: counts of words, then counts of
+neighbouring words and of how lines begin and end, both over distinct texts so that copies
+don't count, then the repair of the whole table. Only
 words, pairs and line ends above a share of all are brought together, which bounds them
 by one over that share. A record is cleaned of page furniture, its broken words are
 joined, and each word is looked up: candidates come from the intersection of a
@@ -36,6 +37,8 @@ EDGE = 0.9
 MARKS = "-‐­¬"
 DIGITS = str.maketrans({"O": "0", "o": "0", "Q": "0", "D": "0", "I": "1", "l": "1", "i": "1", "|": "1", "!": "1", "Z": "2", "z": "2", "S": "5", "s": "5", "b": "6", "G": "6", "B": "8", "g": "9", "q": "9"})
 PAGE_WORDS = {"page", "p", "pg", "of"}
+#: Letters that scanning takes for one another, in either direction.
+CONFUSED = {frozenset(p.split(":")) for p in "m:rn n:ri h:b h:li e:c i:l i:1 i:I i:! l:1 l:I l:| u:n u:ii w:vv d:cl k:l< a:o a:@ o:0 c:o s:5 t:l t:i t:f g:q g:9 b:6 y:v z:2 B:8 O:0 S:5 Z:2".split()}
 
 _EDGE_MARKS = ".,;:()[]\"'"
 _LINE = re.compile(r"\r\n|\n|\r")
@@ -47,6 +50,15 @@ def shape(token: str) -> str:
     return re.sub(r"[0-9]", "9", token.strip(".,;:\"'") or token)
 
 
+def confused(right: str, read: str) -> bool:
+    """Whether ``read`` is ``right`` with some letters taken for those of ``CONFUSED``."""
+    if not right or not read:
+        return right == read
+    if right[0] == read[0] and confused(right[1:], read[1:]):
+        return True
+    return any(frozenset((right[:i], read[:j])) in CONFUSED and confused(right[i:], read[j:]) for i in (1, 2) for j in (1, 2))
+
+
 def broken_at_end(line: str) -> re.Match | None:
     """The part of a word that a mark breaks off at the line's end."""
     end = line.rstrip(" \t")
@@ -70,9 +82,9 @@ def _count(df: DataFrame, text: str, count, limit: int = 200_000) -> DataFrame:
             for t in frame["__fw_text"]:
                 count(t, counters)
             if sum(map(len, counters.values())) > limit:
-                yield from (_sums(k, c) for k, c in counters.items())
+                yield from (_sums(k, c) for k, c in counters.items() if c)
                 counters.clear()
-        yield from (_sums(k, c) for k, c in counters.items())
+        yield from (_sums(k, c) for k, c in counters.items() if c)
 
     rows = df.where(F.col(text).isNotNull()).select(F.col(text).alias("__fw_text"))
     return rows.mapInPandas(run, "kind string, entry string, n bigint").groupBy("kind", "entry").agg(F.sum("n").alias("n"))
@@ -136,6 +148,7 @@ class Statistics:
 
 
 def corpus_statistics(df: DataFrame, text: str) -> Statistics:
+    df = materialise(df.where(F.col(text).isNotNull()).select(text).distinct(), "distinct-texts")  # used twice
     counts = materialise(_count(df, text, _count_words), "word-counts")  # used twice
     total = counts.agg(F.sum("n").alias("n")).first().n or 0
     words = _above(counts, WORD_SHARE, "known words").get("word", Counter())
@@ -157,6 +170,7 @@ class Cleaner:
         self.log: list[tuple[str, str, str | None, str | None]] | None = None
         self.near: dict[str, list[tuple[int, int, str]]] = {}
         self.read: dict[tuple[str, str | None, str | None], str] = {}
+        self.shadows: dict[tuple[str, str], bool] = {}
 
     # page furniture
 
@@ -261,6 +275,30 @@ class Cleaner:
             self.near[word] = hit
         return hit
 
+    def _readings(self, form: str) -> list[str]:
+        """The form and the commoner words that it may be a misreading of."""
+        if not re.search(r"[A-Za-z]", form):
+            return [form]
+        read = [form.replace("9", d) for d in "0125689"] if "9" in form else [form]
+        return [form, *(w for _, minus, w in self._candidates(form) if -minus >= self.s.words[form] and any(confused(w, r) for r in read))]
+
+    def _beside(self, left: str | None, right: str | None) -> int:
+        """How often the forms stand together, as they are or as what they may be misreadings of."""
+        return max((self.s.pairs[f"{a} {b}"] for a in self._readings(left) for b in self._readings(right)), default=0) if left and right else 0
+
+    def _shadow(self, read: str, right: str) -> bool:
+        """Whether a known form stands only between words that have ``right`` beside them as often:
+        no word of its own then, but one that many rows misread."""
+        if (hit := self.shadows.get((read, right))) is None:
+            seen = agreed = 0
+            for pair, n in self._pairs_of(read) if self.s.words[right] >= self.s.words[read] else []:
+                a, b = pair.split(" ")
+                if a != b:
+                    seen += n
+                    agreed += n * (max(self.s.pairs[f"{x} {right}"] if b == read else self.s.pairs[f"{right} {x}"] for x in self._readings(a if b == read else b)) >= n)
+            hit = self.shadows[read, right] = seen > 0 and agreed >= EDGE * seen
+        return hit
+
     def _number(self, core: str, before: str | None, after: str | None) -> str | None:
         """The token with letters read back as digits, if that is what stands there."""
         digits = core.translate(DIGITS)
@@ -271,7 +309,7 @@ class Cleaner:
             return None
         have = self.s.words[shape(core)]
         if re.search(r"[0-9]", core) or prefix:
-            return digits if self.s.words[shape(digits)] >= BETTER * have else None
+            return digits if self.s.words[shape(digits)] >= BETTER * have or self._shadow(shape(core), shape(digits)) else None
         # letters only: the words beside it must ask for a number
         asked = self.s.pairs[f"{self.s.form(before)} {shape(digits)}"] if before else 0
         named = self.s.pairs[f"{self.s.form(before)} {self.s.form(core)}"] if before else 0
@@ -302,13 +340,18 @@ class Cleaner:
         left_own, right_own = (self.s.pairs[f"{left} {core}"] if left else 0), (self.s.pairs[f"{core} {right}"] if right else 0)
         best: tuple[float, str] | None = None
         for edits, minus, candidate in self._candidates(core):
-            if -minus < COMMONER * have or core[0].islower() and candidate[0].isupper() or candidate[0].islower() and core[0].isupper() and core[1:].islower() and have:
+            # a misread word may be common: the words beside it then show that it is none of its own
+            sure = -minus < COMMONER * have and confused(candidate, core) and self._shadow(core, candidate)
+            if -minus < COMMONER * have and not sure or core[0].islower() and candidate[0].isupper() or candidate[0].islower() and core[0].isupper() and core[1:].islower() and have:
                 continue
             a = self.s.pairs[f"{left} {candidate}"] if left else 0
             b = self.s.pairs[f"{candidate} {right}"] if right else 0
             better = (a >= BETTER * max(left_own, 0.3)) + (b >= BETTER * max(right_own, 0.3))
             worse = (a < left_own) + (b < right_own)
-            if have and (better < (left is not None) + (right is not None) and (better < 1 or min(a, b) < BETTER * min(left_own, right_own)) or worse):
+            if sure:
+                if max(a, self._beside(left, candidate)) < left_own or max(b, self._beside(candidate, right)) < right_own:
+                    continue
+            elif have and (better < (left is not None) + (right is not None) and (better < 1 or min(a, b) < BETTER * min(left_own, right_own)) or worse):
                 continue
             if not have and not better and edits > max(1, len(core) // 4):
                 continue
