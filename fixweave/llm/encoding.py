@@ -5,7 +5,8 @@ classes of UTF-8 finds maximal well-formed multibyte spans, and only those spans
 decoded again, round after round, so that doubly garbled text comes out too. Two kinds of
 damage leave no multibyte structure: single-byte text read in another single-byte
 encoding, which is undone where the corpus knows the resulting word and hardly knows the
-present one, and UTF-7 shifts. Replacement marks stand for characters that are lost.
+present one, or where several words of the corpus or of the record have the same cause,
+and UTF-7 shifts. Replacement marks stand for characters that are lost.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ SINGLE = tuple((w, t) for w in ("cp437", "cp850", "mac_roman", "cp1252", "latin_
 KNOWN_SHARE = 1e-4
 #: How many times more often the corpus must have the word that a single-byte reading gives.
 RARER = 20
+#: How many words of the corpus must be garbled alike for damage that is common itself.
+SEVERAL = 3
 
 REPLACED = "�"
 
@@ -114,6 +117,34 @@ class Repair:
         self.codecs = [Codec(c) for c in WRONG]
         self.single = [(_back(w), t) for w, t in SINGLE]
         self.seen: dict[str, tuple[str, tuple[str, ...]]] = {}
+        self.joint: dict[tuple[str, ...], int | None] = {}
+        self.common = self._common()
+
+    def _common(self) -> set[tuple[str, str]]:
+        """Pairs of encodings under which several known words, alike but for their characters
+        beyond ASCII, turn into commoner ones; the pair that has more words wins over its reverse."""
+        alike: dict[tuple[str, str], set[str]] = {}
+        for word, n in self.known.items():
+            if not any(c.isascii() and c.isalnum() for c in word):
+                continue
+            for (back, true), pair in zip(self.single, SINGLE):
+                new = self._read(word, back, true)
+                if new is not None and new != word and self.known.get(new, 0) > n:
+                    alike.setdefault(pair, set()).add(word)
+        return {(w, t) for (w, t), words in alike.items() if len(words) >= SEVERAL and len(words) > len(alike.get((t, w), ()))}
+
+    @staticmethod
+    def _read(word: str, back: dict[int, int], true: str) -> str | None:
+        """The word with its characters beyond ASCII read in the other encoding."""
+        out = []
+        for c in word:
+            if ord(c) < 0x80:
+                out.append(c)
+            elif (b := back.get(ord(c))) is None:
+                return None
+            else:
+                out.append(bytes([b]).decode(true, "replace"))
+        return "".join(out)
 
     def count(self, word: str) -> int:
         return self.known.get(re.sub(r"[0-9]+", "9", word), 0)
@@ -172,22 +203,33 @@ class Repair:
     def remapped(self, word: str) -> str | None:
         """A reading in another single-byte encoding that the corpus knows far better."""
         have, best = self.count(word), None
-        for back, true in self.single:
-            out = []
-            for c in word:
-                if ord(c) < 0x80:
-                    out.append(c)
-                elif (b := back.get(ord(c))) is None:
-                    break
-                else:
-                    out.append(bytes([b]).decode(true, "replace"))
-            else:
-                new = "".join(out)
-                n = self.count(new)
-                if new != word and n >= self.least and n >= RARER * max(have, 0.05) and (best is None or n > best[0]):
-                    best = (n, new)
+        anchored = any(c.isascii() and c.isalnum() for c in word)
+        for (back, true), pair in zip(self.single, SINGLE):
+            new = self._read(word, back, true)
+            if new is None or new == word or (n := self.count(new)) < self.least:
+                continue
+            far = n >= RARER * max(have, 0.05)
+            if (far or anchored and pair in self.common and n > have) and (best is None or n > best[0]):
+                best = (n, new)
         return best and best[1]
 
+    def together(self, words: tuple[str, ...]) -> int | None:
+        """Which pair of encodings explains all words of a record: the corpus must know every
+        reading no worse than the word as it is, and all together better."""
+        if (hit := self.joint.get(words, -1)) != -1:
+            return hit
+        best: tuple[int, int] | None = None
+        have = [self.count(w) for w in words]
+        for i, (back, true) in enumerate(self.single):
+            read = [self._read(w, back, true) for w in words]
+            counts = [self.count(new) if new is not None and new != w else 0 for w, new in zip(words, read)]
+            if all(n >= max(self.least, h) for n, h in zip(counts, have)) and sum(counts) > sum(have) and (best is None or sum(counts) > best[0]):
+                best = (sum(counts), i)
+        if len(self.joint) > 200_000:
+            self.joint.clear()
+        self.joint[words] = hit = best and best[1]
+        return hit
+
     def shifted(self, text: str) -> str | None:
         """UTF-7 shifts undone where they hold whole characters beyond ASCII."""
         whole = text
@@ -246,20 +288,29 @@ class Repair:
             return text, []
         kinds: dict[str, None] = {}
         parts = re.split(r"([ \t\r\n]+)", text)
+        bare: dict[int, str] = {}  # words without multibyte damage
         for i in range(0, len(parts), 2):
             if parts[i] and (not parts[i].isascii() or "+" in parts[i]):
-                parts[i], found = self.word(parts[i])
+                now, found = self.word(parts[i])
+                if not parts[i].isascii() and found in ((), ("single_byte",)):
+                    bare[i] = parts[i]
+                parts[i] = now
                 kinds |= dict.fromkeys(found)
+        words = tuple(dict.fromkeys(re.sub(r"[0-9]+", "9", w) for w in bare.values()))
+        if len(words) > 1 and (pair := self.together(words)) is not None:
+            for i, w in bare.items():
+                parts[i] = self._read(w, *self.single[pair])
+            kinds["single_byte"] = None
         return "".join(parts), list(kinds)
 
 
 def known_words(df: DataFrame, text: str, share: float = KNOWN_SHARE) -> dict[str, int]:
     """Counts of the words beyond ASCII (digits as one 9) with at least ``share`` of all of them.
 
-    Counted over the whole table before the shuffle; no more than 1 / share words can have
-    such a share, which bounds what comes to the driver.
+    Counted over distinct texts, so that copies don't count; no more than 1 / share words can
+    have such a share, which bounds what comes to the driver.
     """
-    words = df.where(F.col(text).rlike(r"[^\x00-\x7f]")).select(F.explode(F.split(text, r"[ \t\r\n]+")).alias("w"))
+    words = df.where(F.col(text).rlike(r"[^\x00-\x7f]")).select(text).distinct().select(F.explode(F.split(text, r"[ \t\r\n]+")).alias("w"))
     counts = words.where(F.col("w").rlike(r"[^\x00-\x7f]")).groupBy(F.regexp_replace("w", "[0-9]+", "9").alias("w")).agg(F.count("*").alias("n"))
     counts = materialise(counts, "word-counts")  # used twice
     total = counts.agg(F.sum("n").alias("n")).first().n or 0
