@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import io
+import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -28,26 +31,56 @@ def build_session(app: str = "fixweave", master: str | None = None, **conf: str)
     return spark
 
 
+class NoSharedFolder(RuntimeError):
+    """A cluster that names no folder which all its machines share."""
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (as in local tests) a temporary folder is made.
+    Where the setting is missing, a temporary folder is made if the master is this very
+    process; on a cluster it would be another folder on every machine, so that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise NoSharedFolder("set spark.checkpoint.dir to a folder that all executors share")
         folder = getattr(spark, "_fixweave_dir", None) or tempfile.mkdtemp(prefix="fixweave-")
         spark._fixweave_dir = folder
     return folder.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def _path(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def materialise(df: DataFrame, name: str, scratch: list[str] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the cut of its lineage.
 
-    Unlike a cache the written table survives the loss of any executor.
+    Unlike a cache the written table survives the loss of any executor. It is deleted when
+    the driver ends, or sooner by ``scratch_tables``, which passes its list as ``scratch``.
     """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    place, files = _path(spark, path)
+    files.deleteOnExit(place)
+    if scratch is not None:
+        scratch.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """``materialise`` for tables that are read only inside the block, and deleted at its end."""
+    written: list[str] = []
+    try:
+        yield lambda df, name: materialise(df, name, written)
+    finally:
+        for path in written:
+            place, files = _path(spark, path)
+            files.delete(place, True)
 
 
 class BoundExceeded(ValueError):
