@@ -4,12 +4,15 @@ Documents are measured in tokens of a public tokenizer. A source that would need
 passes than it may have is clamped at its cap and its excess weight goes to the others in
 proportion, until every source is feasible. Whole passes take every document; the
 remaining fraction takes documents in a seeded order until its share of tokens is filled.
+The order is cut into ranges, and the cut of a source falls into one of them: ranges
+before it are taken whole, those after it not at all, and only that one is sorted.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -18,7 +21,9 @@ from pyspark.sql.types import LongType
 
 from ..session import collect_bounded, materialise
 
+#: The driver's copy of the tokenizer; executors get its content, of this size at most.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+MAX_TOKENIZER_BYTES = 64 << 20
 #: The seeded order is cut into so many ranges; only the range that a cut falls into is sorted.
 RANGES = 4096
 MAX_SOURCES = 10_000
@@ -30,7 +35,13 @@ def source_form(value: Column) -> Column:
 
 
 def count_tokens(df: DataFrame, text: str, tokenizer: str, kept: list[str]) -> DataFrame:
-    """``kept`` columns and ``n_tokens`` of the whole text; null and empty texts have none."""
+    """``kept`` columns and ``n_tokens`` of the whole text; null and empty texts have none.
+
+    ``tokenizer`` is a file on the driver; its content is sent to the executors.
+    """
+    if (size := Path(tokenizer).stat().st_size) > MAX_TOKENIZER_BYTES:
+        raise ValueError(f"{tokenizer}: {size} bytes, more than {MAX_TOKENIZER_BYTES}")
+    content = df.sparkSession.sparkContext.broadcast(Path(tokenizer).read_text("utf-8"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -38,7 +49,7 @@ def count_tokens(df: DataFrame, text: str, tokenizer: str, kept: list[str]) -> D
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tool = Tokenizer.from_file(tokenizer)
+        tool = Tokenizer.from_str(content.value)
         tool.encode_special_tokens = True
         for batch in batches:
             texts = [t or "" for t in batch.column(text).to_pylist()]
@@ -88,6 +99,12 @@ def water_fill(shares: list[Share], total: float | None = None) -> list[Share]:
     return shares
 
 
+def whole_and_cut(share: Share) -> tuple[int, float]:
+    """Whole passes over a source, and the tokens of its last, partial pass; none beyond the cap."""
+    whole = min(int(share.passes + 1e-9), share.cap)
+    return whole, max(0.0, (share.passes - whole) * share.available) if whole < share.cap and share.passes > whole + 1e-9 else 0.0
+
+
 @dataclass
 class Mix:
     documents: DataFrame
@@ -101,8 +118,9 @@ def mix_sources(
 
     Documents of null or unlisted sources and those without a copy stay out. The order
     within a source hashes key and seed, so a rerun gives the same mix; rows with the same
-    key and size are alike and taken in any order. A source listed twice adds up its
-    targets and has the larger cap; null targets and caps count as 0.
+    key and size are alike and taken in any order. A document has ``max_repeats`` copies at
+    most; one without tokens takes part in whole passes only. A source listed twice adds up
+    its targets and has the larger cap; null targets and caps count as 0.
     """
     wanted = targets.groupBy(source_form(F.col("source")).alias("source")).agg(
         F.sum(F.coalesce("target_share", F.lit(0.0))).alias("target_share"), F.max(F.coalesce("max_repeats", F.lit(0))).alias("max_repeats")
@@ -119,19 +137,21 @@ def mix_sources(
     shares = [Share(g.source, g.target_share, g.max_repeats, sums[g.source].tokens if g.source in sums else 0) for g in sorted(goals, key=lambda g: g.source)]
     water_fill(shares, total)
     plan = spark.createDataFrame(
-        [(s.source, s.target, s.cap, sums[s.source].docs if s.source in sums else 0, s.available, s.weight, s.passes, int(s.passes + 1e-9), (s.passes - int(s.passes + 1e-9)) * s.available) for s in shares],
+        [(s.source, s.target, s.cap, sums[s.source].docs if s.source in sums else 0, s.available, s.weight, s.passes, *whole_and_cut(s)) for s in shares],
         "source string, target_share double, max_repeats int, n_docs bigint, available_tokens bigint, planned_share double, passes double, whole int, cut double",
     )
-    small = F.broadcast(plan.select("source", "whole", "cut"))  # at most MAX_SOURCES rows
-    before = F.sum("tokens").over(Window.partitionBy("source").orderBy("__fw_range").rowsBetween(Window.unboundedPreceding, -1))
-    edges = ranges.withColumn("before", F.coalesce(before, F.lit(0))).join(small, "source")
-    edges = edges.select("source", "__fw_range", "whole", "cut", "before", (F.col("before") + F.col("tokens") <= F.col("cut")).alias("full"), (F.col("before") >= F.col("cut")).alias("none"))
-    joined = sized.join(F.broadcast(edges), ["source", "__fw_range"])  # sources x RANGES rows at most
-    decided = joined.where(F.col("full") | F.col("none")).withColumn("extra", F.when(F.col("full"), 1).otherwise(0))
-    within = Window.partitionBy("source", "__fw_range").orderBy("__fw_order", key, "n_tokens")
-    edge = joined.where(~F.col("full") & ~F.col("none"))
+    # one row per source: the range that its cut falls into, and the tokens before that range
+    goal = plan.select("source", "whole", "cut")
+    before = F.coalesce(F.sum("tokens").over(Window.partitionBy("source").orderBy("__fw_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    reached = ranges.join(F.broadcast(goal), "source").withColumn("before", before).where((F.col("before") < F.col("cut")) & (F.col("before") + F.col("tokens") >= F.col("cut")))
+    edges = goal.join(reached.select("source", F.col("__fw_range").alias("edge"), "before"), "source", "left")
+    joined = sized.join(F.broadcast(edges), "source")  # MAX_SOURCES rows at most
+    first = F.when(F.col("edge").isNull(), F.col("cut") > 0).otherwise(F.col("__fw_range") < F.col("edge")) & (F.col("n_tokens") > 0)
+    at_edge = F.col("edge").isNotNull() & (F.col("__fw_range") == F.col("edge"))
+    decided = joined.where(~at_edge).withColumn("extra", F.when(first, 1).otherwise(0))
+    within = Window.partitionBy("source").orderBy("__fw_order", key, "n_tokens")
     upto = F.col("before") + F.sum("n_tokens").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens") / 2
-    cut = edge.withColumn("extra", F.when(upto <= F.col("cut"), 1).otherwise(0))
+    cut = joined.where(at_edge).withColumn("extra", F.when((upto <= F.col("cut")) & (F.col("n_tokens") > 0), 1).otherwise(0))
     mixed = decided.unionByName(cut).select(key, "source", "n_tokens", (F.col("whole") + F.col("extra")).alias("copies")).where(F.col("copies") > 0)
     used = mixed.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("mix_tokens"), F.max("copies").alias("most_copies"))
     report = plan.drop("whole", "cut").join(F.broadcast(used), "source", "left").na.fill(0, ["mix_tokens", "most_copies"])

@@ -1,6 +1,8 @@
 import os
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from fixweave.llm.mixing import TOKENIZER, Share, mix_sources, water_fill
 
@@ -51,3 +53,51 @@ def test_total(spark):
     targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.3, 1), ("c", 0.2, 1)], "source string, target_share double, max_repeats int")
     report = {r.source: r.actual_share for r in mix_sources(df, targets, total=4000).report.collect()}
     assert report == {"a": pytest.approx(0.5, abs=0.002), "b": pytest.approx(0.3, abs=0.002), "c": pytest.approx(0.2, abs=0.002)}
+
+
+def brute_force(rows, goals, order):
+    """Copies per document: whole passes, then documents in order while their middle lies before the cut."""
+    shares = water_fill([Share(s, t, c, sum(n for _, source, n in rows if source == s)) for s, t, c in sorted(goals)])
+    out = {}
+    for share in shares:
+        own = sorted((order[k], k, n) for k, source, n in rows if source == share.source)
+        whole = min(int(share.passes + 1e-9), share.cap)
+        rest, before = share.passes * share.available - whole * share.available, 0
+        for _, k, n in own:
+            extra = n > 0 and whole < share.cap and rest > 1e-6 and before + n / 2 <= rest
+            before += n
+            if whole + extra:
+                out[k] = whole + extra
+    return out
+
+
+@needs_files
+@pytest.mark.parametrize("seed", range(6))
+def test_equals_brute_force_and_keeps_every_cap(spark, seed):
+    r = random.Random(seed)
+    sources = "abcde"
+    rows = [(i, r.choice(sources), " a" * r.choice([0, 0, 0, 1, 2, 30])) for i in range(r.choice([0, 40, 400, 1500]))]
+    rows += [(5000 + i, "empty", "") for i in range(20)]
+    goals = [(s, r.choice([0.0, 0.1, 0.5]), r.choice([0, 1, 2, 5])) for s in sources] + [("empty", 0.2, 2)]
+    df = spark.createDataFrame([(k, t, s) for k, s, t in rows], "doc_id long, text string, source string")
+    mix = mix_sources(df, spark.createDataFrame(goals, "source string, target_share double, max_repeats int"), seed=seed)
+    docs = {d.doc_id: d for d in mix.documents.collect()}
+    caps = {s: c for s, _, c in goals}
+    assert all(1 <= d.copies <= caps[d.source] for d in docs.values())
+    assert all(x.most_copies <= x.max_repeats for x in mix.report.collect())
+    order = {x.doc_id: x.o for x in df.select("doc_id", F.xxhash64(F.lit(seed), "doc_id").alias("o")).collect()}
+    # ranges follow the order's upper bits without sign
+    order = {k: o % 2**64 for k, o in order.items()}
+    want = brute_force([(k, s, len(t.split())) for k, s, t in rows], goals, order)
+    assert {k: d.copies for k, d in docs.items()} == want
+
+
+@needs_files
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_no_document_beyond_its_cap_where_texts_are_empty(spark, seed):
+    rows = [(i, "" if i % 5 else "some words here", "thin") for i in range(500)] + [(1000 + i, "word " * 500, "rich") for i in range(50)] + [(2000, "", "none")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("thin", 0.5, 2), ("rich", 0.5, 4), ("none", 0.0, 0)], "source string, target_share double, max_repeats int")
+    mix = mix_sources(df, targets, seed=seed)
+    assert all(d.copies <= {"thin": 2, "rich": 4}[d.source] for d in mix.documents.collect())
+    assert all(x.most_copies <= x.max_repeats for x in mix.report.collect())
