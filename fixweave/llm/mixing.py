@@ -10,6 +10,7 @@ before it are taken whole, those after it not at all, and only that one is sorte
 
 from __future__ import annotations
 
+from base64 import b64decode
 from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
@@ -21,9 +22,11 @@ from pyspark.sql.types import LongType
 
 from ..session import collect_bounded, materialise
 
-#: The driver's copy of the tokenizer; executors get its content, of this size at most.
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+#: The driver's copy of the tokenizer's ranks; executors get its content, of this size at most.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 MAX_TOKENIZER_BYTES = 64 << 20
+#: Fixed value: how that public tokenizer cuts a text into the pieces that it encodes.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The seeded order is cut into so many ranges; only the range that a cut falls into is sorted.
 RANGES = 4096
 MAX_SOURCES = 10_000
@@ -37,25 +40,19 @@ def source_form(value: Column) -> Column:
 def count_tokens(df: DataFrame, text: str, tokenizer: str, kept: list[str]) -> DataFrame:
     """``kept`` columns and ``n_tokens`` of the whole text; null and empty texts have none.
 
-    ``tokenizer`` is a file on the driver; its content is sent to the executors.
+    ``tokenizer`` is a file of ranks on the driver; its content is sent to the executors.
     """
     if (size := Path(tokenizer).stat().st_size) > MAX_TOKENIZER_BYTES:
         raise ValueError(f"{tokenizer}: {size} bytes, more than {MAX_TOKENIZER_BYTES}")
-    content = df.sparkSession.sparkContext.broadcast(Path(tokenizer).read_text("utf-8"))
+    content = df.sparkSession.sparkContext.broadcast(Path(tokenizer).read_bytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
+        from tiktoken import Encoding
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tool = Tokenizer.from_str(content.value)
-        tool.encode_special_tokens = True
+        ranks = {b64decode(piece): int(rank) for piece, rank in map(bytes.split, content.value.splitlines())}
+        encode = Encoding("mixing", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         for batch in batches:
-            texts = [t or "" for t in batch.column(text).to_pylist()]
-            counts = []
-            for k in range(0, len(texts), 64):
-                counts += [len(e) for e in tool.encode_batch(texts[k : k + 64], add_special_tokens=False)]
+            counts = [len(encode(t)) if t else 0 for t in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(counts, pa.int64())], names=[*kept, "n_tokens"])
 
     small = df.select(*kept, text)
@@ -144,7 +141,7 @@ def mix_sources(
     goal = plan.select("source", "whole", "cut")
     before = F.coalesce(F.sum("tokens").over(Window.partitionBy("source").orderBy("__fw_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     reached = ranges.join(F.broadcast(goal), "source").withColumn("before", before).where((F.col("before") < F.col("cut")) & (F.col("before") + F.col("tokens") >= F.col("cut")))
-    edges = goal.join(reached.select("source", F.col("__fw_range").alias("edge"), "before"), "source", "left")
+    edges = goal.join(F.broadcast(reached.select("source", F.col("__fw_range").alias("edge"), "before")), "source", "left")
     joined = sized.join(F.broadcast(edges), "source")  # MAX_SOURCES rows at most
     first = F.when(F.col("edge").isNull(), F.col("cut") > 0).otherwise(F.col("__fw_range") < F.col("edge")) & (F.col("n_tokens") > 0)
     at_edge = F.col("edge").isNotNull() & (F.col("__fw_range") == F.col("edge"))

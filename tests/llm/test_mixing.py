@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from fixweave.llm.mixing import TOKENIZER, Share, mix_sources, water_fill
+from fixweave.llm.mixing import TOKENIZER, Share, count_tokens, mix_sources, water_fill
 
 needs_files = pytest.mark.skipif(not os.path.exists(TOKENIZER), reason="no tokenizer")
 
@@ -101,3 +101,15 @@ def test_no_document_beyond_its_cap_where_texts_are_empty(spark, seed):
     mix = mix_sources(df, targets, seed=seed)
     assert all(d.copies <= {"thin": 2, "rich": 4}[d.source] for d in mix.documents.collect())
     assert all(x.most_copies <= x.max_repeats for x in mix.report.collect())
+
+
+@needs_files
+def test_tokens_are_those_of_the_tokenizer(spark):
+    from tokenizers import Tokenizer
+
+    tool = Tokenizer.from_file(TOKENIZER.replace(".tiktoken", ".json"))
+    tool.encode_special_tokens = True
+    texts = ["", None, "RNAV (GPS) RWY 21R", "  l'état d'été\r\n\n 50 % ", "<|endoftext|>", "日本語 🛫", "x" * 20_000, "we'll\tclimb to 3,000' "]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_tokens for r in count_tokens(df, "text", TOKENIZER, ["doc_id"]).collect()}
+    assert got == {i: len(tool.encode(t, add_special_tokens=False)) if t else 0 for i, t in enumerate(texts)}
