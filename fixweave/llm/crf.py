@@ -62,7 +62,7 @@ class Chain:
 
     # training
 
-    def fit(self, sequences: Sequence[Sequence[str]], tags: Sequence[Sequence[str]], rounds: int = 60, decay: float = 0.02) -> Chain:
+    def fit(self, sequences: Sequence[Sequence[str]], tags: Sequence[Sequence[str]], rounds: int = 60, decay: float = 0.7) -> Chain:
         """Maximum penalised likelihood over all sequences, by L-BFGS."""
         unique = sorted({t for s in sequences for t in s})
         at = {t: i for i, t in enumerate(unique)}
