@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.normalize import strip
 from ..operators.copies import diff_copies, list_form, number_form, text_form
-from ..operators.drift import schema_changes, unify
+from ..operators.drift import failed_casts, schema_changes, unify
 from ..operators.nested import flatten_entries, flatten_records, gather_entries
 from ..session import read_table
 from .reference_queries import line_table, procedure_table, turn_table
@@ -51,6 +51,11 @@ def p2_table(spark: SparkSession, folder: str) -> DataFrame:
     return unify(_feeds(spark, folder), RECORD)
 
 
+def p2_uncast(spark: SparkSession, folder: str) -> DataFrame:
+    """How many values of each field of that table could not be cast."""
+    return failed_casts(p2_table(spark, folder))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every leg of every pair."""
     return flatten_entries(read_table(spark, folder, "pairs_100"), "pair_no", "body", "cifp.legs", "legs", ["rt_type", "wpt_ident"], number="leg_no")
@@ -94,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_table": p2_table,
+    "p2_uncast": p2_uncast,
     "p5_found": p5_found,
     "p5_legs": p5_legs,
     "p5_pairs": p5_pairs,
