@@ -21,10 +21,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import collect_bounded, materialise
-
-#: Encodings that text is read in by mistake.
-WRONG = ("cp1252", "latin_1", "iso8859_15", "cp437", "cp850", "mac_roman", "cp1251")
+from ..session import collect_bounded, scratch_tables
+
+#: Encodings that text is read in by mistake, one byte a character.
+WRONG = ("cp1252", "latin_1", "iso8859_15", "cp437", "cp850", "mac_roman", "cp1251", "cp1250", "iso8859_2", "cp1254", "koi8_r", "cp866", "cp1253")
+#: Those in whose own scripts letters alone are no sign of damage, unless Latin ones stand in the same word.
+CAREFUL = frozenset(("koi8_r", "cp866", "cp1253"))
+#: Encodings with one or two bytes a character.
+DOUBLE = ("gb18030", "shift_jis", "euc_kr", "big5")
 #: Pairs (read as, really) of single-byte encodings.
 SINGLE = tuple((w, t) for w in ("cp437", "cp850", "mac_roman", "cp1252", "latin_1", "cp1251") for t in ("cp1252", "mac_roman", "cp437", "cp850") if w != t)
 #: A word is known if it makes up this share of the corpus's words that aren't plain ASCII: at most 1 / share words.
@@ -57,6 +61,39 @@ class Codec:
             self.table[char] = byte
 
 
+class DoubleCodec:
+    """An encoding in which a character is one byte or two; a wide one may have swallowed a plain character."""
+
+    def __init__(self, name: str):
+        self.name = name
+
+    def spans(self, text: str) -> list[tuple[int, int, str]]:
+        """Start, end and decoded text of the maximal well-formed spans, in whole characters of ``text``."""
+        made: list[int] = []
+        owner: list[int] = []
+        for i, c in enumerate(text):
+            try:
+                code = c.encode(self.name)
+            except UnicodeEncodeError:
+                code = b""
+            code = code if 0 < len(code) < 3 else b""
+            made += code or [-1]
+            owner += [i] * max(len(code), 1)
+        byte = np.array(made, np.int16)
+        out = []
+        for s, e in zip(*utf8_spans(byte)):
+            if s and owner[s - 1] == owner[s]:
+                continue
+            # bytes of the last character beyond the span must be plain ones
+            stop = e
+            while stop < len(owner) and owner[stop] == owner[e - 1]:
+                stop += 1
+            rest = bytes(made[e:stop])
+            if all(0x20 <= b < 0x80 for b in rest):
+                out.append((owner[s], owner[stop - 1] + 1, bytes(made[s:e]).decode("utf-8") + rest.decode("ascii")))
+        return out
+
+
 def utf8_spans(byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of maximal runs of well-formed multibyte UTF-8 sequences; -1 is no byte.
 
@@ -100,6 +137,9 @@ def _natural(text: str, start: int, end: int, fixed: str) -> bool:
     if any(unicodedata.category(c) in ("Cn", "Co", "Cs") or c < " " for c in fixed):
         return True
     scripts = {_script(c) for c in text[start:end]}
+    if scripts == {"LATIN"} and len(fixed) == 1 and not (fixed < "\u0250" or "\u2010" <= fixed < "\u2300"):
+        # two accented letters in a row, which make no Latin letter and no sign
+        return True
     if "" in scripts or len(scripts) != 1 or scripts == {"LATIN"} and len(text) > end and fixed.isalpha() is False:
         return False
     around = {_script(c) for c in (text[start - 1 : start] + text[end : end + 1])} - {""}
@@ -115,6 +155,7 @@ class Repair:
         for w, n in known.items():
             self.folded[w.lower()] = self.folded.get(w.lower(), 0) + n
         self.codecs = [Codec(c) for c in WRONG]
+        self.doubles = [DoubleCodec(c) for c in DOUBLE]
         self.single = [(_back(w), t) for w, t in SINGLE]
         self.seen: dict[str, tuple[str, tuple[str, ...]]] = {}
         self.joint: dict[tuple[str, ...], int | None] = {}
@@ -162,14 +203,36 @@ class Repair:
             out, at, gain = [], 0, 0
             for s, e in zip(*utf8_spans(byte)):
                 fixed = bytes(byte[s:e].astype(np.uint8)).decode("utf-8")
-                if _natural(text, s, e, fixed):
+                if _natural(text, s, e, fixed) or codec.name in CAREFUL and text[s:e].isalpha() and not re.search("[A-Za-z]", text):
                     continue
                 out += [text[at:s], fixed]
                 at, gain = e, gain + int(e - s)
             if gain:
                 found.setdefault("".join([*out, text[at:]]), gain)
+        if any(c >= "\u2e80" for c in text):
+            for double in self.doubles:
+                out, at, gain = [], 0, 0
+                for s, e, fixed in double.spans(text):
+                    if not self._foreign(text, s, e, fixed):
+                        continue
+                    out += [text[at:s], fixed]
+                    at, gain = e, gain + 2 * (e - s)
+                if gain:
+                    found.setdefault("".join([*out, text[at:]]), gain)
         return found
 
+    def _foreign(self, text: str, start: int, end: int, fixed: str) -> bool:
+        """Whether wide characters stand where Latin letters and signs belong: in a word that has
+        plain letters or digits beside them and goes on in no wide script, or where the corpus
+        knows what they turn into."""
+        if not all(c.isascii() or "\xa0" <= c < "\u0250" or "\u2010" <= c < "\u2300" for c in fixed):
+            return False
+        around = text[start - 1 : start] + text[end : end + 1]
+        if any(c >= "\u2e80" for c in around):
+            return False
+        beside = any(c.isascii() and c.isalnum() for c in text[:start] + text[end:]) or any(c.isascii() and c.isalnum() for c in fixed)
+        return beside or self.count(text[:start] + fixed + text[end:]) >= self.least
+
     def multibyte(self, text: str) -> str | None:
         """What the text was before one or more wrong readings; None if it has no span.
 
@@ -266,8 +329,9 @@ class Repair:
         if not word.isascii():
             fixed, lowered = self.multibyte(word), self.lowered(word) if word == word.lower() else None
             have = RARER * self.count(word)
-            # the lower-case reading needs the corpus on its side, or a word that isn't known and has no other
-            if lowered is not None and (self.fold(lowered) > max(have, self.fold(fixed) if fixed else 0) or fixed is None and not have):
+            # the lower-case reading needs the corpus on its side, or a word that isn't known and has no other;
+            # two letters may well be a word
+            if lowered is not None and (self.fold(lowered) > max(have, self.fold(fixed) if fixed else 0) or fixed is None and not have and not (len(word) == 2 and word.isalpha())):
                 fixed = lowered
             if fixed is not None:
                 now, kinds = fixed, ["multibyte"]
@@ -312,10 +376,11 @@ def known_words(df: DataFrame, text: str, share: float = KNOWN_SHARE) -> dict[st
     """
     words = df.where(F.col(text).rlike(r"[^\x00-\x7f]")).select(text).distinct().select(F.explode(F.split(text, r"[ \t\r\n]+")).alias("w"))
     counts = words.where(F.col("w").rlike(r"[^\x00-\x7f]")).groupBy(F.regexp_replace("w", "[0-9]+", "9").alias("w")).agg(F.count("*").alias("n"))
-    counts = materialise(counts, "word-counts")  # used twice
-    total = counts.agg(F.sum("n").alias("n")).first().n or 0
-    kept = counts.where((F.col("n") >= 2) & (F.col("n") >= total * share))
-    return {r.w: r.n for r in collect_bounded(kept, int(1 / share) + 1, "known words")}
+    with scratch_tables(df.sparkSession) as keep:
+        counts = keep(counts, "word-counts")  # used twice
+        total = counts.agg(F.sum("n").alias("n")).first().n or 0
+        kept = counts.where((F.col("n") >= 2) & (F.col("n") >= total * share))
+        return {r.w: r.n for r in collect_bounded(kept, int(1 / share) + 1, "known words")}
 
 
 def repair_encoding(df: DataFrame, key: str, text: str, share: float = KNOWN_SHARE) -> DataFrame:

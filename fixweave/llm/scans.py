@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import collect_bounded, materialise
+from ..session import collect_bounded, scratch_tables
 from .lexicon import Trie
 
 #: Least share of all words that makes a word known; words in capitals (names, codes) need more.
@@ -148,14 +148,15 @@ class Statistics:
 
 
 def corpus_statistics(df: DataFrame, text: str) -> Statistics:
-    df = materialise(df.where(F.col(text).isNotNull()).select(text).distinct(), "distinct-texts")  # used twice
-    counts = materialise(_count(df, text, _count_words), "word-counts")  # used twice
-    total = counts.agg(F.sum("n").alias("n")).first().n or 0
-    words = _above(counts, WORD_SHARE, "known words").get("word", Counter())
-    stats = Statistics(words, total)
-    shared = df.sparkSession.sparkContext.broadcast(stats)
-    pairs = materialise(_count(df, text, lambda t, c: shared.value.count(t, c)), "pair-counts")
-    found = _above(pairs, PAIR_SHARE, "known pairs")
+    with scratch_tables(df.sparkSession) as keep:
+        df = keep(df.where(F.col(text).isNotNull()).select(text).distinct(), "distinct-texts")  # used twice
+        counts = keep(_count(df, text, _count_words), "word-counts")  # used twice
+        total = counts.agg(F.sum("n").alias("n")).first().n or 0
+        words = _above(counts, WORD_SHARE, "known words").get("word", Counter())
+        stats = Statistics(words, total)
+        shared = df.sparkSession.sparkContext.broadcast(stats)
+        pairs = keep(_count(df, text, lambda t, c: shared.value.count(t, c)), "pair-counts")
+        found = _above(pairs, PAIR_SHARE, "known pairs")
     stats.pairs, stats.begins, stats.ends, stats.alone = (found.get(k, Counter()) for k in ("pair", "begin", "end", "alone"))
     return stats
 
