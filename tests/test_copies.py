@@ -1,9 +1,11 @@
+import random
 from datetime import datetime
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from fixweave.operators.copies import diff_copies, list_form, number_form, text_form
+from fixweave.operators.copies import diff_copies, list_form, number_form, split_points, text_form
 
 SCHEMA = "k long, alt string, fix string, pts array<string>, at timestamp, __fw_side string, field string"
 FIELDS = {"alt": number_form, "fix": text_form, "pts": list_form}
@@ -103,3 +105,40 @@ def test_merge_across_batches(spark):
         assert found(spark, left, right) == sorted(expected, key=repr)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("keys", [["k"], ["s"], ["k", "s"], ["d", "k"]])
+def test_ranges_and_hot_keys(spark, keys):
+    """Many ranges, keys beyond the floats' whole numbers, null keys, and keys with a third of all rows."""
+    r = random.Random(5)
+    big = 2**60
+
+    def rows(seed):
+        q = random.Random(seed)
+        out = []
+        for i in range(1500):
+            k = r.choice([big, big, None, *(big + q.randrange(400) for _ in range(4))])
+            s = "hot" if k == big else f"s{q.randrange(9)}" if k is not None else None
+            out.append((k, s, datetime(2024, 1, 1 + (k or 0) % 28), q.randrange(50), q.choice(["x", "y", None])))
+        return out
+
+    schema = "k long, s string, d timestamp, at int, v string"
+    left, right = rows(1), rows(2)
+    frames = [spark.createDataFrame(x, schema).repartition(5) for x in (left, right)]
+    got = [tuple(x) for x in diff_copies(*frames, keys, {"v": text_form}, "at", ranges=7).collect()]
+    place = {"k": 0, "s": 1, "d": 2}
+    least = lambda v: (v is not None, v if v is not None else "")
+
+    def latest(x):
+        out = {}
+        for row in x:
+            key = tuple(row[place[k]] for k in keys)
+            out[key] = max(out.get(key, ((-1,), None)), ((row[3], least(row[4])), row[4]), key=lambda t: t[0])
+        return {k: v[1] for k, v in out.items()}
+
+    a, b = latest(left), latest(right)
+    want = [(*k, "row_missing_in_right") for k in a.keys() - b.keys()] + [(*k, "row_missing_in_left") for k in b.keys() - a.keys()]
+    want += [(*k, "v") for k in a.keys() & b.keys() if a[k] != b[k]]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    points, hot = split_points(frames[0].unionByName(frames[1]).select("k"), 7)
+    assert {x.k for x in hot} >= {big, None} and len(points) > 2
