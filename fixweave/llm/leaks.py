@@ -11,27 +11,32 @@ and no passage with such a run can fall below it. What is retrieved is verified
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import collect_bounded
+from ..session import scratch_tables
 
 WORD = re.compile(r"[^\W_]+")
 SPAN = 8
-PASSAGE = 24
+#: A passage has so many times the words of a run.
+PASSAGE = 3
 BLOCK = 16
 K1, B = 1.2, 0.75
-#: Items per index; more items make more indexes, each asked in turn.
-ITEMS_PER_INDEX = 20_000
-#: Test suites are small: this many items at most, or the job stops with an error.
-MAX_ITEMS = 1_000_000
+#: Characters of item text per index; more make more indexes.
+INDEX_CHARS = 8_000_000
+#: Indexes are sent to the executors as long as they hold so many bytes together; the rest
+#: follows in further passes over the documents.
+PASS_BYTES = 128 << 20
 
 
 def words(text: str | None) -> list[str]:
@@ -42,7 +47,9 @@ class ItemIndex:
     """Block-max postings of a set of items."""
 
     def __init__(self, items: list[tuple[int, str]], span: int = SPAN, block: int = BLOCK):
-        self.span = span
+        if span < 1:
+            raise ValueError("a run has one word at least")
+        self.span, self.passage = span, PASSAGE * span
         texts = [(i, words(t)) for i, t in items]
         texts = [(i, w) for i, w in texts if len(w) >= span]
         self.ids = [i for i, _ in texts]
@@ -122,7 +129,7 @@ class ItemIndex:
 
     def leaked(self, text_words: list[str]) -> set[int]:
         """Items of which the words hold at least one run."""
-        span, step = self.span, PASSAGE - self.span + 1
+        span, step = self.span, self.passage - self.span + 1
         get = self.term.get
         numbers = [get(w, -1) for w in text_words]
         if len(numbers) < span or not self.ids:
@@ -132,7 +139,7 @@ class ItemIndex:
         weight = np.where(row >= 0, self.best[np.maximum(row, 0)], 0.0)
         total = np.concatenate(([0.0], np.cumsum(weight)))
         starts = np.arange(0, max(len(row) - span, 0) + 1, step)
-        ends = np.minimum(starts + PASSAGE, len(row))
+        ends = np.minimum(starts + self.passage, len(row))
         found: set[int] = set()
         for s, e in zip(starts[total[ends] - total[starts] >= 1.0 - 1e-6], ends[total[ends] - total[starts] >= 1.0 - 1e-6]):
             passage = numbers[s:e]
@@ -143,29 +150,59 @@ class ItemIndex:
         return {self.ids[h] for h in found}
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, doc_key: str, item_key: str, text: str = "text", span: int = SPAN) -> DataFrame:
+def item_indexes(items: DataFrame, item_key: str, text: str, span: int, chars: int = INDEX_CHARS) -> DataFrame:
+    """Indexes over all items as pickled rows ``(block, size, data)``, built where the items are."""
+    rows = items.where(F.col(text).isNotNull()).select(F.col(item_key).alias("__fw_item"), F.col(text).alias("__fw_text")).distinct()
+    total = rows.agg(F.sum(F.length("__fw_text").cast("bigint")).alias("n")).first().n or 0
+    blocks = max(1, -(-total // chars))
+
+    def build(frame: pd.DataFrame) -> pd.DataFrame:
+        pairs = sorted(zip(frame["__fw_item"], frame["__fw_text"]))
+        data = pickle.dumps(ItemIndex(pairs, span), protocol=5)
+        return pd.DataFrame({"block": [int(frame["block"].iloc[0])], "size": [len(data)], "data": [data]})
+
+    placed = rows.withColumn("block", F.pmod(F.xxhash64("__fw_item", "__fw_text"), F.lit(blocks)).cast("int"))
+    return placed.groupBy("block").applyInPandas(build, "block int, size bigint, data binary")
+
+
+def find_leaks(
+    documents: DataFrame, items: DataFrame, doc_key: str, item_key: str, text: str = "text", span: int = SPAN, chars: int = INDEX_CHARS, pass_bytes: int = PASS_BYTES
+) -> DataFrame:
     """Every (item, document) pair that shares ``span`` consecutive words or more, once.
 
     Case doesn't count and everything but letters and digits only separates words. Null and
     short texts match nothing; a document key that occurs again counts once; texts are taken
-    whole; empty tables give no rows. The items are the query side and small (``MAX_ITEMS``);
-    documents are never shuffled.
+    whole; empty tables give no rows. The items are the query side: any number of them, in
+    blocks; documents are never shuffled.
     """
     spark = documents.sparkSession
-    rows = collect_bounded(items.select(item_key, text).where(F.col(text).isNotNull()), MAX_ITEMS, "evaluation items")
-    pairs = sorted({(r[0], r[1]) for r in rows})
-    indexes = [spark.sparkContext.broadcast(ItemIndex(pairs[k : k + ITEMS_PER_INDEX], span)) for k in range(0, len(pairs), ITEMS_PER_INDEX)]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for key, body in zip(frame["__fw_key"], frame["__fw_text"]):
-                of = words(body)
-                for index in indexes:
-                    out += [(i, key) for i in index.value.leaked(of)]
-            yield pd.DataFrame(out, columns=["__fw_item", "__fw_key"])
-
     kind = lambda df, c: df.schema[c].dataType.simpleString()
+    schema = f"__fw_item {kind(items, item_key)}, __fw_key {kind(documents, doc_key)}"
     bodies = documents.where(F.col(text).isNotNull()).select(F.col(doc_key).alias("__fw_key"), F.col(text).alias("__fw_text"))
-    out = bodies.mapInPandas(run, f"__fw_item {kind(items, item_key)}, __fw_key {kind(documents, doc_key)}")
+
+    def ask(shared: list[Broadcast]) -> DataFrame:
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            indexes = [pickle.loads(s.value) for s in shared]
+            for frame in frames:
+                out = []
+                for key, body in zip(frame["__fw_key"], frame["__fw_text"]):
+                    of = words(body)
+                    for index in indexes:
+                        out += [(i, key) for i in index.leaked(of)]
+                yield pd.DataFrame(out, columns=["__fw_item", "__fw_key"])
+
+        return bodies.mapInPandas(run, schema)
+
+    with scratch_tables(spark) as keep:
+        built = keep(item_indexes(items, item_key, text, span, chars), "item-indexes")
+        passes: list[list[int]] = []
+        room = 0
+        for r in built.select("block", "size").orderBy("block").toLocalIterator():
+            if not passes or r["size"] > room:
+                passes.append([])
+                room = pass_bytes
+            passes[-1].append(r["block"])
+            room -= r["size"]
+        found = [ask([spark.sparkContext.broadcast(bytes(r.data)) for r in built.where(F.col("block").isin(blocks)).toLocalIterator()]) for blocks in passes]
+    out = reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)
     return out.distinct().select(F.col("__fw_item").alias(item_key), F.col("__fw_key").alias(doc_key))

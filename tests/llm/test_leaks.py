@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from fixweave.llm.leaks import ItemIndex, find_leaks, words
 
 VOCABULARY = [f"w{i}" for i in range(60)] + ["the", "to", "at"] * 5
@@ -60,3 +62,29 @@ def test_table(spark):
     assert got == sorted({(i, d) for d, t in rows if t for i in brute(items, t)}, key=repr)
     assert find_leaks(df, tests.where("false"), "doc_id", "item_id").count() == 0
     assert find_leaks(df.where("false"), tests, "doc_id", "item_id").count() == 0
+
+
+@pytest.mark.parametrize("span", [1, 2, 4, 8, 24, 25, 30, 64])
+def test_any_length_of_run(span):
+    r = random.Random(span)
+    items = [(i, " ".join(r.choice(VOCABULARY) for _ in range(r.randint(max(1, span - 2), 3 * span)))) for i in range(25)]
+    index = ItemIndex(items, span, block=3)
+    hits = 0
+    for _ in range(60):
+        w = [r.choice(VOCABULARY) for _ in range(r.randint(0, 5 * span))]
+        source = r.choice(items)[1].split()
+        k = r.randint(max(1, span - 1), span + 2)
+        at = r.randrange(len(w) + 1)
+        w[at:at] = source[:k] if r.random() < 0.5 else source[-k:]
+        want = brute(items, " ".join(w), span)
+        hits += len(want)
+        assert index.leaked(w) == want
+    assert hits
+
+
+def test_many_blocks_and_passes(spark):
+    items, docs = texts(5)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    tests = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(map(tuple, find_leaks(df, tests, "doc_id", "item_id", chars=700, pass_bytes=10_000).collect()))
+    assert got == sorted({(i, d) for d, t in docs for i in brute(items, t)})
