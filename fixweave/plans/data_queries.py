@@ -7,12 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.normalize import strip
 from ..operators.copies import diff_copies, list_form, number_form, text_form
 from ..operators.drift import failed_casts, schema_changes, unify
-from ..operators.nested import flatten_entries, flatten_records, gather_entries
+from ..operators.nested import flatten_entries, flatten_records
 from ..session import read_table
-from .reference_queries import line_table, procedure_table, turn_table
+from .reference_queries import line_table, procedure_table, turn_table, whole_pairs
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -73,13 +72,6 @@ def p5_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.withColumnRenamed("n_entries", "n_legs")
 
 
-def whole_pairs(pairs: DataFrame) -> DataFrame:
-    """Every pair with its legs as cifp has them, read from body where cifp is null."""
-    fields = ["trans_ident", "seq_no", "rt_type", "wpt_ident", "altitude1", "alt_desc"]
-    whole = gather_entries(pairs, ["pair_no", "chart_no", "id"], "body", "cifp", "legs", fields, ["airport", "proc_ident"], outer=["trans_ident"], key_field="seq_no")
-    return whole.withColumn("cifp", F.col("cifp").withField("airport", strip(F.col("cifp.airport"))))
-
-
 def p5_records(spark: SparkSession, folder: str) -> DataFrame:
     """The canonical record of every pair; one whose body can't be read is kept, not ``well_formed``."""
     return procedure_table(whole_pairs(read_table(spark, folder, "pairs_100")), "well_formed")

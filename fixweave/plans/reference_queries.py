@@ -11,6 +11,7 @@ from ..functions import normalize as N
 from ..functions import responses as R
 from ..functions import textrules as X
 from ..operators import fixed_width, scoring, selection, sequence, taxonomy
+from ..operators.nested import gather_entries
 from ..session import read_table
 from ..sources.readers import document_name, relative_path
 
@@ -78,8 +79,15 @@ def q_normalized(spark: SparkSession, folder: str) -> DataFrame:
     return made
 
 
-def _typed_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    return read_table(spark, folder, "pairs_100").where(F.col("cifp").isNotNull())
+def whole_pairs(pairs: DataFrame) -> DataFrame:
+    """Every pair with its legs as cifp has them, read from body where cifp is null."""
+    fields = ["trans_ident", "seq_no", "rt_type", "wpt_ident", "altitude1", "alt_desc"]
+    whole = gather_entries(pairs, ["pair_no", "chart_no", "id"], "body", "cifp", "legs", fields, ["airport", "proc_ident"], outer=["trans_ident"], key_field="seq_no")
+    return whole.withColumn("cifp", F.col("cifp").withField("airport", N.strip(F.col("cifp.airport"))))
+
+
+def _pairs(spark: SparkSession, folder: str) -> DataFrame:
+    return whole_pairs(read_table(spark, folder, "pairs_100"))
 
 
 def procedure_table(pairs: DataFrame, *keep: str) -> DataFrame:
@@ -110,18 +118,15 @@ def turn_table(pairs: DataFrame) -> DataFrame:
 
 
 def q_procedure_record(spark: SparkSession, folder: str) -> DataFrame:
-    """Typed pairs only, as in the SQL; ``p5_records`` has all."""
-    return procedure_table(_typed_pairs(spark, folder))
+    return procedure_table(_pairs(spark, folder))
 
 
 def q_fixed_width(spark: SparkSession, folder: str) -> DataFrame:
-    """Typed pairs only, as in the SQL; ``p5_lines`` has all."""
-    return line_table(_typed_pairs(spark, folder))
+    return line_table(_pairs(spark, folder))
 
 
 def q_turn_lookup(spark: SparkSession, folder: str) -> DataFrame:
-    """Typed pairs only, as in the SQL; ``p5_turns`` has all."""
-    return turn_table(_typed_pairs(spark, folder))
+    return turn_table(_pairs(spark, folder))
 
 
 def q_rules(spark: SparkSession, folder: str) -> DataFrame:

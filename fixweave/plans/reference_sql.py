@@ -67,14 +67,52 @@ def _prf(prefix: str = "") -> str:
 
 _CELL = "sum((app AND said AND hit)::BIGINT)::BIGINT AS {0}tp, sum((said AND NOT (app AND hit))::BIGINT)::BIGINT AS {0}fp, sum((app AND NOT (said AND hit))::BIGINT)::BIGINT AS {0}fn"
 
+_LEG = ("trans_ident", "seq_no", "rt_type", "wpt_ident", "altitude1", "alt_desc")
+#: Every leg of every pair, from cifp or from wherever body holds a list of legs.
+_TREE = r"""
+src AS (SELECT pair_no, 0 AS part, body AS j FROM pairs_100 WHERE json_valid(body)),
+outer_ AS (SELECT pair_no, t.key, t.type, t.atom, t.fullkey AS path, t.id, t.parent FROM src, json_tree(j) t),
+held AS (SELECT pair_no, id AS part, '{"legs":' || json_extract_string(atom, '$') || '}' AS j FROM outer_ WHERE key = 'legs' AND type = 'VARCHAR'),
+tree AS (SELECT pair_no, 0 AS part, key, type, atom, path, id, parent FROM outer_
+         UNION ALL SELECT pair_no, part, t.key, t.type, t.atom, t.fullkey, t.id, t.parent FROM held, json_tree(CASE WHEN json_valid(j) THEN j ELSE '{}' END) t),
+lists AS (SELECT pair_no, part, id, path, type FROM tree WHERE key = 'legs' AND type IN ('ARRAY', 'OBJECT')),
+named AS (SELECT DISTINCT n.pair_no, n.part, n.parent AS id FROM tree n JOIN lists l ON l.pair_no = n.pair_no AND l.part = n.part AND l.id = n.parent WHERE l.type = 'OBJECT' AND NOT regexp_full_match(n.key, '[0-9]+')),
+entries AS (
+  SELECT l.pair_no, l.part, n.id, n.path, n.key, l.id AS list, CASE WHEN l.type = 'OBJECT' THEN n.key::BIGINT ELSE 0 END AS rank, CASE WHEN l.type = 'OBJECT' THEN l.id ELSE n.id END AS place, l.type = 'OBJECT' AS keyed
+  FROM lists l JOIN tree n ON n.pair_no = l.pair_no AND n.part = l.part AND n.type = 'OBJECT'
+  WHERE (l.type = 'ARRAY' AND regexp_full_match(substr(n.path, length(l.path) + 1), '(\[[0-9]+\])+') AND starts_with(n.path, l.path))
+     OR (l.type = 'OBJECT' AND n.parent = l.id AND (l.pair_no, l.part, l.id) NOT IN (SELECT pair_no, part, id FROM named))
+  UNION ALL SELECT t.pair_no, t.part, t.id, t.path, NULL, t.id, 0, t.id, false FROM tree t JOIN named USING (pair_no, part, id)),
+kept AS (SELECT e.* FROM entries e WHERE EXISTS (SELECT 1 FROM tree c WHERE c.pair_no = e.pair_no AND c.part = e.part AND c.parent = e.id)),
+inside AS (SELECT e.pair_no, e.part, e.id AS entry, x.key, json_extract_string(x.atom, '$') AS value, x.id
+           FROM kept e JOIN tree x ON x.pair_no = e.pair_no AND x.part = e.part AND starts_with(x.path, e.path || '.') WHERE x.type NOT IN ('OBJECT', 'ARRAY')),
+beside AS (SELECT l.pair_no, l.part, l.id AS list, arg_min(json_extract_string(s.atom, '$'), s.id) AS trans_ident
+           FROM lists l JOIN tree o USING (pair_no, part, id) JOIN tree s ON s.pair_no = l.pair_no AND s.part = l.part AND s.parent = o.parent WHERE s.key = 'trans_ident' AND s.type NOT IN ('OBJECT', 'ARRAY') GROUP BY ALL),
+raw AS (SELECT e.pair_no, row_number() OVER (PARTITION BY e.pair_no ORDER BY CASE WHEN e.part > 0 THEN e.part ELSE e.place END, e.place, e.rank, e.id)::INTEGER AS leg_no, any_value(e.keyed) AS keyed, any_value(e.key) AS number,
+          any_value(b.trans_ident) AS above, """ + ", ".join(f"arg_min(x.value, x.id) FILTER (x.key = '{f}') AS {f}" for f in _LEG) + """
+        FROM kept e LEFT JOIN inside x ON x.pair_no = e.pair_no AND x.part = e.part AND x.entry = e.id LEFT JOIN beside b ON b.pair_no = e.pair_no AND b.part = e.part AND b.list = e.list
+        GROUP BY e.pair_no, e.part, e.place, e.rank, e.id),
+typed AS (SELECT pair_no, unnest(cifp.legs) AS l, generate_subscripts(cifp.legs, 1) AS i FROM pairs_100 WHERE body IS NULL AND cifp IS NOT NULL),
+legs AS (SELECT pair_no, leg_no, """ + ", ".join(f"coalesce({f}, above) AS {f}" if f=="trans_ident" else f for f in _LEG) + """, CASE WHEN keyed THEN number END AS number FROM raw
+  UNION ALL SELECT pair_no, row_number() OVER (PARTITION BY pair_no ORDER BY i)::INTEGER, """ + ", ".join(f"l.{f}" for f in _LEG) + """, NULL FROM typed WHERE l IS NOT NULL AND coalesce(""" + ", ".join(f"l.{f}" for f in _LEG) + """) IS NOT NULL)
+"""
+_TRIM = "coalesce(regexp_replace({}, '^\\s+|\\s+$', '', 'g'), '')"
+_PAIRS = """
+value AS (SELECT pair_no, arg_min(json_extract_string(atom, '$'), id) FILTER (key = 'airport') AS airport, arg_min(json_extract_string(atom, '$'), id) FILTER (key = 'proc_ident') AS proc_ident
+          FROM outer_ WHERE type NOT IN ('OBJECT', 'ARRAY') GROUP BY pair_no),
+pairs AS (SELECT p.pair_no, p.chart_no, p.id, coalesce(v.airport, p.cifp.airport) AS airport, coalesce(v.proc_ident, p.cifp.proc_ident) AS proc_ident,
+            CASE WHEN p.body IS NULL THEN p.cifp IS NOT NULL ELSE json_valid(p.body) END AS well_formed FROM pairs_100 p LEFT JOIN value v USING (pair_no)),
+placed AS (SELECT pair_no, leg_no - 1 AS p, trans_ident, coalesce(seq_no, number) AS seq_no, rt_type, wpt_ident, altitude1, alt_desc FROM legs WHERE pair_no NOT IN (SELECT pair_no FROM typed)
+           UNION ALL SELECT pair_no, i - 1, """ + ", ".join(f"l.{f}" for f in _LEG) + """ FROM typed WHERE l IS NOT NULL)
+"""
+
 _LEGS = f"""
-WITH base AS (
-  SELECT pair_no, chart_no, id, cifp.airport AS airport, {_strip('cifp.proc_ident')} AS proc_ident,
-         list_transform(list_filter(coalesce(cifp.legs, []), lambda x: x IS NOT NULL), lambda x: {{
-           'trans': coalesce({_strip('x.trans_ident')}, ''), 'seq': coalesce({_strip('x.seq_no')}, ''), 'rt': coalesce({_strip('x.rt_type')}, ''),
-           'wpt': coalesce({_strip('x.wpt_ident')}, ''), 'sign': coalesce({_strip('x.alt_desc')}, ''),
-           'alt': CASE WHEN regexp_matches({_strip('x.altitude1')}, '^[+-]?[0-9]+$') THEN try_cast({_strip('x.altitude1')} AS INTEGER) END}}) AS legs
-  FROM pairs_100 WHERE cifp IS NOT NULL),
+WITH {_TREE}, {_PAIRS},
+own_legs AS (SELECT pair_no, list({{
+           'trans': coalesce({_strip('trans_ident')}, ''), 'seq': coalesce({_strip('seq_no')}, ''), 'rt': coalesce({_strip('rt_type')}, ''),
+           'wpt': coalesce({_strip('wpt_ident')}, ''), 'sign': coalesce({_strip('alt_desc')}, ''),
+           'alt': CASE WHEN regexp_matches({_strip('altitude1')}, '^[+-]?[0-9]+$') THEN try_cast({_strip('altitude1')} AS INTEGER) END}} ORDER BY p) AS legs FROM placed GROUP BY pair_no),
+base AS (SELECT pair_no, chart_no, id, {_strip('airport')} AS airport, {_strip('proc_ident')} AS proc_ident, well_formed, coalesce(legs, []) AS legs FROM pairs LEFT JOIN own_legs USING (pair_no)),
 t AS (SELECT *, coalesce(list_filter(legs, lambda x: starts_with(x.wpt, 'RW'))[1].trans,
         CASE WHEN list_contains(list_transform(legs, lambda x: x.trans), 'R') THEN 'R' WHEN list_contains(list_transform(legs, lambda x: x.trans), 'I') THEN 'I' END) AS transition FROM base),
 own AS (SELECT *, list_filter(legs, lambda x: x.trans = coalesce(transition, '') AND coalesce(transition, '') <> '') AS main FROM t),
@@ -85,20 +123,31 @@ a AS (SELECT *, list_filter(CASE WHEN ca_at > 0 THEN ma[ca_at + 1:] ELSE ma[1:0]
         list_filter(ma, lambda x: x.rt IN ('HM', 'HF', 'HA')) AS held, list_filter(ma, lambda x: x.rt = 'DF') AS df FROM ca)
 """
 
-_FIXED = f"""
-WITH legs AS (SELECT pair_no, cifp.airport AS airport, cifp.proc_ident AS proc_ident, unnest(cifp.legs) AS leg, generate_subscripts(cifp.legs, 1) - 1 AS p FROM pairs_100 WHERE cifp IS NOT NULL),
+_LINES = f"""
 lines AS (
-  SELECT pair_no, p::INTEGER AS p, pair_no * 1000 + p AS line_no, {_strip('left(coalesce(airport, $$$$), 4)')} AS airport, {_strip('left(' + _strip('coalesce(proc_ident, $$$$)') + ', 5)')} AS proc_ident,
-         {_strip('left(' + _strip('coalesce(leg.trans_ident, $$$$)') + ', 6)')} AS trans_ident, {_strip('left(' + _strip('coalesce(leg.seq_no, $$$$)') + ', 3)')} AS seq_no,
-         CASE (pair_no + p) % 3 WHEN 0 THEN 'L' WHEN 1 THEN 'R' ELSE '' END AS turn_dir, {_strip('left(' + _strip('coalesce(leg.rt_type, $$$$)') + ', 3)')} AS rt_type
-  FROM legs WHERE leg IS NOT NULL)
+  SELECT pair_no, p::INTEGER AS p, pair_no * 1000 + p AS line_no, {_strip('left(' + _strip('coalesce(airport, $$$$)') + ', 4)')} AS airport, {_strip('left(' + _strip('coalesce(proc_ident, $$$$)') + ', 5)')} AS proc_ident,
+         {_strip('left(' + _strip('coalesce(trans_ident, $$$$)') + ', 6)')} AS trans_ident, {_strip('left(' + _strip('coalesce(seq_no, $$$$)') + ', 3)')} AS seq_no,
+         CASE (pair_no + p) % 3 WHEN 0 THEN 'L' WHEN 1 THEN 'R' ELSE '' END AS turn_dir, {_strip('left(' + _strip('coalesce(rt_type, $$$$)') + ', 3)')} AS rt_type
+  FROM placed JOIN pairs USING (pair_no))
 """
+_FIXED = f"WITH {_TREE}, {_PAIRS}, {_LINES}"
+_RECORD = f"""SELECT pair_no, chart_no, id, airport, proc_ident, transition, df[1].seq AS direct_seq,
+CASE WHEN len(ma) > 0 THEN array_to_string(list_transform(ma, lambda x: x.rt || CASE WHEN x.wpt <> '' THEN ' ' || x.wpt ELSE '' END
+  || CASE WHEN x.alt IS NOT NULL THEN ' ' || x.alt || CASE WHEN x.sign IN ('+', '-') THEN x.sign ELSE '' END || 'ft' ELSE '' END), ' -> ') ELSE 'unknown' END AS raw_instruction,
+coalesce(list_filter(list_transform(aft, lambda x: x.alt), lambda v: v IS NOT NULL)[1], list_max(list_transform(ma, lambda x: x.alt))) AS climb_altitude,
+array_to_string(_ORDERED_, ' ') AS waypoints,
+len(held) > 0 AS holding_required, CASE WHEN len(held) > 0 THEN coalesce(nullif(held[1].wpt, ''), 'unknown') END AS holding_fix,
+list_filter(list_transform(df, lambda x: coalesce(nullif(x.wpt, ''), cast(x.alt AS VARCHAR))), lambda v: v IS NOT NULL)[1] AS turn_trigger"""
+_TURN_OF = _LEGS.rstrip() + f", {_LINES.strip()}, " + """idx AS (SELECT airport, proc_ident, trans_ident, seq_no, arg_min(turn_dir, line_no) AS turn_dir FROM lines GROUP BY ALL)
+SELECT a.pair_no, CASE coalesce(idx.turn_dir, '') WHEN 'L' THEN 'LEFT' WHEN 'R' THEN 'RIGHT' ELSE 'NONE' END AS turn_direction
+FROM a LEFT JOIN idx ON a.airport = idx.airport AND a.proc_ident = idx.proc_ident AND a.transition = idx.trans_ident AND a.df[1].seq = idx.seq_no"""
 
 _NO_FIX = ", ".join(f"'{w}'" for w in X.NO_FIX)
 _RULE_WPS = f"list_filter(regexp_extract_all(upper(t), '{X.NAMED_FIX}', 1) || regexp_extract_all(upper(t), '{X.FIX}', 1), lambda w: len(w) = 5 AND w NOT IN ({_NO_FIX}))"
 _HOLD_FIXES = ", ".join(f"CASE WHEN regexp_extract(upper(t), '{p}', 1) NOT IN ('', {_NO_FIX}) THEN regexp_extract(upper(t), '{p}', 1) END" for p in X.HOLD_FIXES)
 #: Distinct entries in the order of their first place.
 _ORDERED = "list_filter({0}, lambda w, i: list_position({0}, w) = i)"
+_RECORD_SQL = _RECORD.replace("_ORDERED_", _ORDERED.format("list_filter(list_transform(aft, lambda x: x.wpt), lambda v: v <> '')"))
 _WHITE = r"[\s\x0B\x{{0085}}\x{{00A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]".replace("{{", "{").replace("}}", "}")
 
 _NUMBER = r"'^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$'"
@@ -152,18 +201,16 @@ SELECT path, signature, n, row_number() OVER (PARTITION BY path ORDER BY n DESC,
     "q_label_examples": _SCORES + "SELECT path, label, row_number() OVER (PARTITION BY path, label ORDER BY pos, chart_no)::INTEGER AS rank, chart_no FROM lab QUALIFY rank <= 10",
     "q_normalized": f"""SELECT path_code, rec_id, {_ALT} AS climb_altitude, {_TURN} AS turn_direction, {_HOLD} AS holding_required, {_FIX} AS holding_fix,
 array_to_string(list_sort({_WPS}), ' ') AS waypoints FROM (SELECT * FROM path_a UNION ALL SELECT * FROM path_c)""",
-    "q_procedure_record": _LEGS
-    + f"""SELECT pair_no, chart_no, id, airport, proc_ident, transition, df[1].seq AS direct_seq,
-CASE WHEN len(ma) > 0 THEN array_to_string(list_transform(ma, lambda x: x.rt || CASE WHEN x.wpt <> '' THEN ' ' || x.wpt ELSE '' END
-  || CASE WHEN x.alt IS NOT NULL THEN ' ' || x.alt || CASE WHEN x.sign IN ('+', '-') THEN x.sign ELSE '' END || 'ft' ELSE '' END), ' -> ') ELSE 'unknown' END AS raw_instruction,
-coalesce(list_filter(list_transform(aft, lambda x: x.alt), lambda v: v IS NOT NULL)[1], list_max(list_transform(ma, lambda x: x.alt))) AS climb_altitude,
-array_to_string({_ORDERED.format("list_filter(list_transform(aft, lambda x: x.wpt), lambda v: v <> '')")}, ' ') AS waypoints,
-len(held) > 0 AS holding_required, CASE WHEN len(held) > 0 THEN coalesce(nullif(held[1].wpt, ''), 'unknown') END AS holding_fix,
-list_filter(list_transform(df, lambda x: coalesce(nullif(x.wpt, ''), cast(x.alt AS VARCHAR))), lambda v: v IS NOT NULL)[1] AS turn_trigger FROM a""",
+    "p5_found": f"WITH {_TREE} SELECT pair_no, leg_no, {_TRIM.format('rt_type')} AS rt_type, {_TRIM.format('wpt_ident')} AS wpt_ident FROM legs",
+    "p5_legs": f"WITH {_TREE} SELECT pair_no, leg_no, " + ", ".join(f"{_TRIM.format(f)} AS {f}" for f in _LEG) + " FROM legs",
+    "p5_pairs": f"WITH {_TREE}, {_PAIRS}, n AS (SELECT pair_no, count(*)::INTEGER AS n FROM legs GROUP BY pair_no) SELECT pair_no, chart_no, id, {_TRIM.format('airport')} AS airport, "
+    + f"{_TRIM.format('proc_ident')} AS proc_ident, well_formed, coalesce(n, 0) AS n_legs FROM pairs LEFT JOIN n USING (pair_no)",
+    "p5_records": _LEGS + _RECORD_SQL + ", well_formed FROM a",
+    "p5_lines": _FIXED + "SELECT pair_no, p, airport, proc_ident, trans_ident, seq_no, turn_dir, rt_type FROM lines",
+    "p5_turns": _TURN_OF,
+    "q_procedure_record": _LEGS + _RECORD_SQL + " FROM a",
     "q_fixed_width": _FIXED + "SELECT pair_no, p, airport, proc_ident, trans_ident, seq_no, turn_dir, rt_type FROM lines",
-    "q_turn_lookup": _LEGS.replace("WITH base", _FIXED.strip() + ", idx AS (SELECT airport, proc_ident, trans_ident, seq_no, arg_min(turn_dir, line_no) AS turn_dir FROM lines GROUP BY ALL), base")
-    + """SELECT a.pair_no, CASE coalesce(idx.turn_dir, '') WHEN 'L' THEN 'LEFT' WHEN 'R' THEN 'RIGHT' ELSE 'NONE' END AS turn_direction
-FROM a LEFT JOIN idx ON a.airport = idx.airport AND a.proc_ident = idx.proc_ident AND a.transition = idx.trans_ident AND a.df[1].seq = idx.seq_no""",
+    "q_turn_lookup": _TURN_OF,
     "q_rules": f"""SELECT rec_id, list_max(list_filter(list_transform(regexp_extract_all(t, '\\b(\\d{{3,5}})\\b', 1), lambda n: n::INTEGER), lambda n: n BETWEEN 500 AND 99000)) AS climb_altitude,
 array_to_string({_ORDERED.format(_RULE_WPS)}, ' ') AS waypoints, CASE WHEN regexp_matches(t, '{X.LEFT}') THEN 'LEFT' WHEN regexp_matches(t, '{X.RIGHT}') THEN 'RIGHT' ELSE 'NONE' END AS turn_direction,
 regexp_matches(t, '{X.HOLD}') AS holding_required, CASE WHEN regexp_matches(t, '{X.HOLD}') THEN coalesce({_HOLD_FIXES}, ({_RULE_WPS})[1]) END AS holding_fix
