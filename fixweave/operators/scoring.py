@@ -1,14 +1,13 @@
 """Scoring of extracted records against reference records.
 
 ``scored`` gives one row per (path, record) with the outcome of every field; all reports
-are aggregates of it, so it is read once. Candidates join the reference on its key, which
-is shuffled once per side; aggregates combine before their shuffle.
+are aggregates of it, so it is read once. All candidates join the reference on its key
+alone, so each side is shuffled once, and records are spread over paths after that;
+aggregates combine before their shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,11 +27,6 @@ def normalized(df: DataFrame, key: str) -> DataFrame:
     return df.select(key, *[_MAKE[f](F.col(f)).alias(f) for f in SCALARS], N.waypoint_set(F.col("waypoints")).alias("waypoints"))
 
 
-def cross_paths(manifest: DataFrame, paths: Sequence[str]) -> DataFrame:
-    """Every record once per path; the paths are a handful of literals, so no join is needed."""
-    return manifest.withColumn("path", F.explode(F.array(*[F.lit(p) for p in paths])))
-
-
 def _said(record: str, field: str) -> Column:
     value = F.col(f"{record}.{field}").isNotNull()
     return value & F.coalesce(F.col(f"{record}.holding_required"), F.lit(False)) if field == "holding_fix" else value
@@ -43,14 +37,14 @@ def scored(manifest: DataFrame, reference: DataFrame, candidates: dict[str, Data
 
     A wrong value costs both a false positive and a miss. Records of the manifest without a
     reference are scored as undetermined; a path without a record has no output. ``manifest``
-    keeps its own columns.
+    keeps its own columns. Reference and candidates have one record per key (``latest``).
     """
     ref = normalized(reference, key).select(key, F.struct(*SCALARS, "waypoints").alias("ref"))
-    one = [normalized(c, key).select(key, F.lit(p).alias("path"), F.struct(*SCALARS, "waypoints").alias("pred")) for p, c in candidates.items()]
-    pred = one[0]
-    for more in one[1:]:
-        pred = pred.unionByName(more)
-    rows = cross_paths(manifest.join(ref, key, "left"), list(candidates)).join(pred, [key, "path"], "left")
+    joined = manifest.join(ref, key, "left")
+    for i, c in enumerate(candidates.values()):
+        joined = joined.join(normalized(c, key).select(key, F.struct(*SCALARS, "waypoints").alias(f"__fw_pred{i}")), key, "left")
+    paths = F.array(*[F.struct(F.lit(p).alias("path"), F.col(f"__fw_pred{i}").alias("pred")) for i, p in enumerate(candidates)])
+    rows = joined.select(*manifest.columns, "ref", F.explode(paths).alias("__fw_x")).select("__fw_x.path", *manifest.columns, "ref", "__fw_x.pred")
     outcome = []
     for f in SCALARS:
         applicable, predicted = F.coalesce(_said("ref", f), F.lit(False)), F.coalesce(_said("pred", f), F.lit(False))

@@ -34,6 +34,17 @@ def missing_keys(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return a.join(b, key, "left_anti").withColumn("only_in", F.lit("left")).unionByName(b.join(a, key, "left_anti").withColumn("only_in", F.lit("right")))
 
 
+def first_missing(left: DataFrame, right: DataFrame, key: str, n: int = 10) -> DataFrame:
+    """The ``n`` least keys that only one side has, in order."""
+    return missing_keys(left, right, key).orderBy(key, "only_in").limit(n)
+
+
+def lookup_list(left: DataFrame, right: DataFrame, key: str, value: Column, name: str) -> DataFrame:
+    """Every row of ``left`` with the sorted distinct ``value``s that ``right`` has for its key; an empty list for none."""
+    lists = right.groupBy(key).agg(F.array_sort(F.collect_set(value)).alias(name))
+    return left.join(lists, key, "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+
+
 def not_done(df: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows whose key has no output yet."""
     return df.join(done.select(key), key, "left_anti")

@@ -120,9 +120,14 @@ def procedure_records(pairs: DataFrame, legs: str = "cifp.legs", keep: tuple[str
 
 
 def after_first(df: DataFrame, key: str, order: list[str], anchor: Column) -> DataFrame:
-    """Rows after the first one of their key that matches ``anchor``."""
-    upto = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("__fw_seen", F.max(anchor.cast("int")).over(upto)).where(F.col("__fw_seen") == 1).drop("__fw_seen")
+    """Rows after the first one of their key that matches ``anchor``; rows that tie with it don't follow it.
+
+    The anchors are an aggregate, so that a key with most of the rows is never sorted in one
+    task. Null keys are a key of their own; nulls in ``order`` come first.
+    """
+    place = F.struct(*order)
+    first = df.where(anchor).groupBy(F.col(key).alias("__fw_key")).agg(F.min(place).alias("__fw_first"))
+    return df.join(first, F.col(key).eqNullSafe(F.col("__fw_key"))).where(place > F.col("__fw_first")).drop("__fw_key", "__fw_first")
 
 
 def first_match(df: DataFrame, key: str, order: list[str], match: Column, value: str) -> DataFrame:

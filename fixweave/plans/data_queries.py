@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..operators.copies import diff_copies, list_form, number_form, text_form
 from ..operators.drift import failed_casts, schema_changes, unify
 from ..operators.nested import flatten_entries, flatten_records
-from ..session import read_table
+from ..operators import scoring
+from ..session import materialise, read_table
 from .reference_queries import line_table, procedure_table, turn_table, whole_pairs
 
 
@@ -55,6 +56,20 @@ def p2_uncast(spark: SparkSession, folder: str) -> DataFrame:
     return failed_casts(p2_table(spark, folder))
 
 
+def p2_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """Paths B and E scored against path O, by the consistent table."""
+    whole = F.col("climb_altitude") == F.floor("climb_altitude")
+    rows = p2_table(spark, folder).where("well_formed").withColumns(
+        {"climb_altitude": F.when(whole, F.col("climb_altitude").cast("bigint").cast("string")), "holding_required": F.col("holding_required").cast("string")}
+    )
+    # written once: both paths are taken from it
+    rows = materialise(rows.select("feed", "chart_no", "raw_no", "written_at", *scoring.SCALARS, "waypoints"), "feed-records")
+    paths = {p.upper(): scoring.latest(rows.where(F.col("feed").startswith(f"{p}-")), "chart_no", "written_at", "raw_no") for p in "be"}
+    reference = scoring.latest(read_table(spark, folder, "path_o"), "chart_no", "loaded_at", "rec_id")
+    scores = scoring.scored(read_table(spark, folder, "manifest").select("chart_no", "pos"), reference, paths, "chart_no")
+    return scoring.summary(scores)
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every leg of every pair."""
     return flatten_entries(read_table(spark, folder, "pairs_100"), "pair_no", "body", "cifp.legs", "legs", ["rt_type", "wpt_ident"], number="leg_no")
@@ -92,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_table": p2_table,
     "p2_uncast": p2_uncast,
+    "p2_summary": p2_summary,
     "p5_found": p5_found,
     "p5_legs": p5_legs,
     "p5_pairs": p5_pairs,

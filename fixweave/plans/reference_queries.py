@@ -12,8 +12,9 @@ from ..functions import responses as R
 from ..functions import textrules as X
 from ..operators import fixed_width, scoring, selection, sequence, taxonomy
 from ..operators.nested import gather_entries
-from ..session import read_table
-from ..sources.readers import document_name, relative_path
+from ..session import passing_path, read_table
+from ..sources.readers import document_name, record_fields, relative_path
+from ..sources.writers import write_records
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -183,6 +184,59 @@ def q_not_done(spark: SparkSession, folder: str) -> DataFrame:
     return selection.not_done(read_table(spark, folder, "manifest").select("chart_no", "id"), read_table(spark, folder, "path_c"), "chart_no")
 
 
+def q_first_missing(spark: SparkSession, folder: str) -> DataFrame:
+    return selection.first_missing(read_table(spark, folder, "manifest"), read_table(spark, folder, "path_b"), "chart_no")
+
+
+def q_airport_procedures(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with the procedures of its airport."""
+    rows = read_table(spark, folder, "documents").select("doc_id", "airport")
+    found = selection.lookup_list(rows, read_table(spark, folder, "manifest"), "airport", N.strip(F.col("proc_ident")), "procedures")
+    return found.withColumn("procedures", F.array_join("procedures", " "))
+
+
+def q_strict_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Every record of path C with its chart; a record without one is an error."""
+    return selection.strict_join(read_table(spark, folder, "path_c").select("chart_no", "rec_id"), read_table(spark, folder, "manifest").select("chart_no", "pos", "id"), "chart_no")
+
+
+def q_expected_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The evaluation items, of which there must be 240."""
+    return selection.expect_rows(read_table(spark, folder, "eval_items"), 240, "evaluation items").select("item_id", "suite")
+
+
+def q_point_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    """The chart at place 7 of the manifest."""
+    return read_table(spark, folder, "manifest").where(F.col("pos") == 7).select("chart_no", "pos", "id")
+
+
+def q_filled(spark: SparkSession, folder: str) -> DataFrame:
+    """A template filled for each chart."""
+    rows = read_table(spark, folder, "manifest")
+    return rows.select("chart_no", R.fill("Chart {sid} of {airport}: {sid}", sid=F.col("id"), airport=F.coalesce("airport", F.lit("?"))).alias("prompt"))
+
+
+def q_instruction(spark: SparkSession, folder: str) -> DataFrame:
+    """Recorded instructions with their signs mended."""
+    return read_table(spark, folder, "path_c").select("rec_id", R.instruction(F.coalesce("raw_instruction", F.lit(""))).alias("instruction"))
+
+
+def q_record_types(spark: SparkSession, folder: str) -> DataFrame:
+    """Altitude and holding of path B's records as their JSON types allow."""
+    rows = read_table(spark, folder, "path_b").select("raw_no", F.try_parse_json("payload").alias("v"))
+    made = record_fields(F.col("v"))
+    return rows.select("raw_no", N.altitude(made["climb_altitude"]).alias("climb_altitude"), N.holding(made["holding_required"]).alias("holding_required"))
+
+
+def q_written_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Records written as JSON lines, one folder per path, and read again."""
+    rows = read_table(spark, folder, "path_a").select("rec_id", "path_code", "climb_altitude", "waypoints")
+    place = passing_path(spark, "records")
+    write_records(rows, place, "path_code")
+    found = spark.read.schema(rows.schema).json(place)
+    return found.withColumn("waypoints", F.array_join("waypoints", " "))
+
+
 def q_manifest_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Charts joined with their newest pair; the others are reported, none is lost."""
     newest = read_table(spark, folder, "pairs_100").groupBy("chart_no").agg(F.max_by("pair_no", F.struct("loaded_at", "pair_no")).alias("pair_no"))

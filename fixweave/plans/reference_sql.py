@@ -233,6 +233,21 @@ k AS (SELECT * FROM m WHERE kind IN ('R', 'L', 'I') QUALIFY row_number() OVER (P
 SELECT kind, row_number() OVER (PARTITION BY kind ORDER BY o, chart_no)::INTEGER AS rank, chart_no, airport FROM k QUALIFY rank <= CASE kind WHEN 'R' THEN 60 WHEN 'L' THEN 25 ELSE 15 END""",
     "q_missing_keys": """SELECT chart_no, 'left' AS only_in FROM (SELECT chart_no FROM manifest EXCEPT SELECT chart_no FROM path_a)
 UNION ALL SELECT chart_no, 'right' FROM (SELECT chart_no FROM path_a EXCEPT SELECT chart_no FROM manifest)""",
+    "q_first_missing": """SELECT * FROM (SELECT chart_no, 'left' AS only_in FROM (SELECT chart_no FROM manifest EXCEPT SELECT chart_no FROM path_b)
+UNION ALL SELECT chart_no, 'right' FROM (SELECT chart_no FROM path_b EXCEPT SELECT chart_no FROM manifest)) ORDER BY chart_no, only_in LIMIT 10""",
+    "q_airport_procedures": f"""SELECT doc_id, airport, coalesce(p, '') AS procedures FROM documents LEFT JOIN
+(SELECT airport, string_agg(DISTINCT {_strip('proc_ident')}, ' ' ORDER BY {_strip('proc_ident')}) AS p FROM manifest GROUP BY airport) USING (airport)""",
+    "q_strict_join": "SELECT chart_no, rec_id, pos, id FROM path_c JOIN manifest USING (chart_no)",
+    "q_expected_rows": "SELECT item_id, suite FROM eval_items",
+    "q_point_lookup": "SELECT chart_no, pos, id FROM manifest WHERE pos = 7",
+    "q_filled": "SELECT chart_no, 'Chart ' || id || ' of ' || coalesce(airport, '?') || ': ' || id AS prompt FROM manifest",
+    "q_instruction": f"""SELECT rec_id, CASE WHEN b = '' OR lower(b) = 'unknown' THEN 'unknown' ELSE replace(replace(replace(b, '掳', '°'), '\\u00b0', '°'), 'Å', ' ') END AS instruction
+FROM (SELECT rec_id, regexp_replace(coalesce(raw_instruction, ''), '^' || '{_WHITE}' || '+|' || '{_WHITE}' || '+$', '', 'g') AS b FROM path_c)""",
+    "q_record_types": """WITH v AS (SELECT raw_no, CASE WHEN json_valid(payload) THEN payload ELSE '{}' END AS j FROM path_b),
+k AS (SELECT raw_no, json_type(j, '$.climb_altitude') AS alt_type, trim(json_extract_string(j, '$.climb_altitude')) AS a, json_type(j, '$.holding_required') AS ht, lower(trim(json_extract_string(j, '$.holding_required'))) AS h FROM v)
+SELECT raw_no, CASE WHEN alt_type = 'BOOLEAN' THEN (a = 'true')::INTEGER WHEN alt_type IN ('UBIGINT', 'BIGINT', 'VARCHAR') AND regexp_full_match(a, '[+-]?[0-9]+') THEN try_cast(a AS INTEGER) END AS climb_altitude,
+CASE WHEN ht IN ('BOOLEAN', 'VARCHAR') THEN CASE WHEN h IN ('true', 'yes', '1') THEN true WHEN h IN ('false', 'no', '0') THEN false END END AS holding_required FROM k""",
+    "q_written_records": "SELECT rec_id, path_code, climb_altitude, array_to_string(waypoints, ' ') AS waypoints FROM path_a",
     "q_not_done": "SELECT chart_no, id FROM manifest ANTI JOIN path_c USING (chart_no)",
     "q_manifest_pairs": """SELECT chart_no, id, pair_no, pair_no IS NOT NULL AS has_pair FROM manifest LEFT JOIN
 (SELECT chart_no, pair_no FROM pairs_100 QUALIFY row_number() OVER (PARTITION BY chart_no ORDER BY loaded_at DESC, pair_no DESC) = 1) USING (chart_no)""",

@@ -55,6 +55,15 @@ def _path(spark: SparkSession, path: str):
     return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def passing_path(spark: SparkSession, name: str) -> str:
+    """A path in a new folder of the shared one, which is deleted when the driver ends."""
+    folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    place, files = _path(spark, folder)
+    files.mkdirs(place)
+    files.deleteOnExit(place)
+    return f"{folder}/table"
+
+
 def materialise(df: DataFrame, name: str, scratch: list[str] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the cut of its lineage.
 
@@ -62,10 +71,8 @@ def materialise(df: DataFrame, name: str, scratch: list[str] | None = None) -> D
     the driver ends, or sooner by ``scratch_tables``, which passes its list as ``scratch``.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = passing_path(spark, name)
     df.write.parquet(path)
-    place, files = _path(spark, path)
-    files.deleteOnExit(place)
     if scratch is not None:
         scratch.append(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -80,7 +87,7 @@ def scratch_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], D
     finally:
         for path in written:
             place, files = _path(spark, path)
-            files.delete(place, True)
+            files.delete(place.getParent(), True)
 
 
 class BoundExceeded(ValueError):

@@ -38,10 +38,17 @@ def json_objects(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def record_fields(record: Column) -> dict[str, Column]:
-    """Scalars of a variant record as text, waypoints as a list; other types are undetermined, not errors."""
+    """Scalars of a variant record as text, waypoints as a list; other types are undetermined, not errors.
+
+    An altitude that is no whole number (``3000.0``) is undetermined, true and false count as 1
+    and 0; whether holding is required may be a truth value or text, not a number.
+    """
     kind = lambda f: F.schema_of_variant(F.try_variant_get(record, f"$.{f}", "variant"))
     text = lambda f: F.when(~kind(f).rlike("^(ARRAY|OBJECT)"), F.try_variant_get(record, f"$.{f}", "string"))
     out = {f: text(f) for f in ("raw_instruction", "climb_altitude", "turn_direction", "holding_required", "holding_fix", "initial_track", "turn_trigger")}
+    alt, hold = kind("climb_altitude"), kind("holding_required")
+    out["climb_altitude"] = F.when(alt == "BOOLEAN", F.try_variant_get(record, "$.climb_altitude", "boolean").cast("int").cast("string")).when(~alt.rlike("^(DECIMAL|DOUBLE|FLOAT)"), out["climb_altitude"])
+    out["holding_required"] = F.when(hold.isin("BOOLEAN", "STRING"), out["holding_required"])
     return out | {"waypoints": F.try_variant_get(record, "$.waypoints", "array<string>")}
 
 

@@ -7,7 +7,7 @@ from types import SimpleNamespace
 
 import pytest
 
-from fixweave.session import BoundExceeded, NoSharedFolder, collect_bounded, materialise, scratch_tables, shared_dir
+from fixweave.session import BoundExceeded, NoSharedFolder, collect_bounded, materialise, passing_path, scratch_tables, shared_dir
 
 
 def _cluster(master, folder=None):
@@ -35,7 +35,12 @@ def test_scratch_tables_are_deleted(spark):
         table = keep(spark.range(10), "numbers")
         path = Path(table.inputFiles()[0].removeprefix("file://")).parent
         assert path.exists() and table.count() == 10
-    assert not path.exists()
+    assert not path.exists() and not path.parent.exists()
+
+
+def test_passing_path_is_in_a_new_folder(spark):
+    one, two = passing_path(spark, "x"), passing_path(spark, "x")
+    assert one != two and Path(one.removeprefix("file://")).parent.is_dir()
 
 
 def test_materialised_table_outlives_its_block(spark):
