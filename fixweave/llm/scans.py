@@ -201,10 +201,10 @@ class Cleaner:
                 return kind
             whole = self.s.alone[forms[0]]
             seen = whole + sum(n for p, n in self._pairs_of(forms[0]))
-            if kind == "running_header":
-                return ""
             if whole >= 3 and whole >= EDGE * seen:
                 return kind
+            if kind == "running_header":
+                return ""
             if not re.fullmatch(r"[0-9]+", tokens[0]):
                 return kind if not seen and not re.search(r"\.", line) else ""
             if len(line) - len(line.lstrip()) >= 4:
