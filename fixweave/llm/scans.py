@@ -102,9 +102,18 @@ def _above(counts: DataFrame, share: float, what: str) -> dict[str, Counter]:
 
 
 def _count_words(text: str, counters: dict[str, Counter]) -> None:
+    """What ``_word_counts`` counts, in plain words."""
     counters.setdefault("word", Counter()).update(shape(t) for t in text.split())
 
 
+def _word_counts(df: DataFrame, text: str) -> DataFrame:
+    """Counts of the words' ``shape`` by built-in functions."""
+    token = df.where(F.col(text).isNotNull()).select(F.explode(F.split(text, r"(?U)\s+")).alias("t")).where("t <> ''")
+    bare = F.regexp_replace("t", r"^[.,;:\"']+|[.,;:\"']+$", "")
+    shapes = token.select(F.regexp_replace(F.when(bare == "", F.col("t")).otherwise(bare), "[0-9]", "9").alias("entry"))
+    return shapes.groupBy("entry").agg(F.count("*").alias("n")).select(F.lit("word").alias("kind"), "entry", "n")
+
+
 class Statistics:
     """What the corpus says of words, pairs of neighbours and ends of lines."""
 
@@ -150,7 +159,7 @@ class Statistics:
 def corpus_statistics(df: DataFrame, text: str) -> Statistics:
     with scratch_tables(df.sparkSession) as keep:
         df = keep(df.where(F.col(text).isNotNull()).select(text).distinct(), "distinct-texts")  # used twice
-        counts = keep(_count(df, text, _count_words), "word-counts")  # used twice
+        counts = keep(_word_counts(df, text), "word-counts")  # used twice
         total = counts.agg(F.sum("n").alias("n")).first().n or 0
         words = _above(counts, WORD_SHARE, "known words").get("word", Counter())
         stats = Statistics(words, total)
