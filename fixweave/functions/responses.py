@@ -86,7 +86,8 @@ def waypoints(text: Column) -> Column:
 
 
 def answer_record(answers: Column) -> dict[str, Column]:
-    """The canonical record from a map of answer texts; the fix counts only unless holding is false."""
+    """The canonical record from a map of answer texts; the fix counts only unless holding is false,
+    and what no question asks for is null."""
     need = holding(answers["holding_required"])
     return {
         "raw_instruction": instruction(answers["raw_instruction"]),
@@ -95,4 +96,7 @@ def answer_record(answers: Column) -> dict[str, Column]:
         "turn_direction": turn(answers["turn_direction"]),
         "holding_required": need,
         "holding_fix": F.when(~F.coalesce(need == F.lit(False), F.lit(False)), holding_fix(answers["holding_fix"], need)),
+        "initial_track": F.lit(None).cast("string"),
+        "turn_trigger": F.lit(None).cast("string"),
+        "holding_details": F.lit(None).cast("struct<track:string,direction:string,leg_time:string>"),
     }

@@ -22,7 +22,7 @@ NO_FIX = tuple(
     RECEIVED REDUCTION""".split()
 )
 OTHER_LINES = ("ATIS", "TOWER", "GROUND", "GND CON", "UNICOM", "CENTER", "APP CON", "APPROACH CON", "CTAF", "DEPARTURE", "CLEARANCE")
-CUTS = ("ATIS", "TOWER", "GROUND", "GND CON", "UNICOM", "CENTER", "APP CON", "APPROACH CON", "CTAF")
+CUT = r"(?i)\b(?:ATIS|TOWER|GROUND|GND CON|UNICOM|CENTER|APP CON|APPROACH CON|CTAF)\b"
 HEADING = r"(?i)\bMISSED\s+AP(?:PROACH|CH)\b"
 BROAD = r"(?i)(CLIMB(?:ING)?|MISSED\s+APPROACH)"
 ACTION = r"(?i)\b(CLIMB(?:ING)?|TURN|DIRECT|HEADING|TRACK|COURSE|HOLD(?:ING)?|DME)\b"
@@ -134,7 +134,7 @@ def page_instructions(df: DataFrame, lines: Column, keep: Sequence[str], rules:
         near = F.slice("__fw_n", F.greatest(at - before, F.lit(0)) + 1, F.lit(before + after))
         own = F.filter(near, lambda x: ~x["other"] & (x["i"] < at + after) & ((x["i"] == at) | x["head"] | x["act"] | ((x["i"] > at) & x["fix"])))
         joined = F.array_join(F.transform(own, lambda x: x["t"]), " ")
-        return strip(F.element_at(F.split(joined, r"(?i)\b(?:" + "|".join(CUTS) + r")\b", 2), 1))
+        return strip(F.element_at(F.split(joined, CUT, 2), 1))
 
     texts = anchored.select(*keep, F.transform("__fw_a", candidate).alias("__fw_t"))
 

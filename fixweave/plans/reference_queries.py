@@ -13,8 +13,8 @@ from ..functions import textrules as X
 from ..operators import fixed_width, scoring, selection, sequence, taxonomy
 from ..operators.nested import gather_entries
 from ..session import passing_path, read_table
-from ..sources.readers import document_name, record_fields, relative_path
-from ..sources.writers import write_records
+from ..sources.readers import document_name, json_array, record_altitude, record_fields, relative_path
+from ..sources.writers import trace, write_array, write_records
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -136,8 +136,8 @@ def q_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def q_page_instruction(spark: SparkSession, folder: str) -> DataFrame:
-    rows = read_table(spark, folder, "path_a").where(F.col("raw_instruction").isNotNull())
-    return X.page_instructions(rows, F.split("raw_instruction", r"\r?\n"), ["rec_id"])
+    rows = read_table(spark, folder, "path_a")
+    return X.page_instructions(rows, F.split(F.coalesce("raw_instruction", F.lit("")), r"\r?\n"), ["rec_id"])
 
 
 def q_clean_line(spark: SparkSession, folder: str) -> DataFrame:
@@ -225,7 +225,7 @@ def q_record_types(spark: SparkSession, folder: str) -> DataFrame:
     """Altitude and holding of path B's records as their JSON types allow."""
     rows = read_table(spark, folder, "path_b").select("raw_no", F.try_parse_json("payload").alias("v"))
     made = record_fields(F.col("v"))
-    return rows.select("raw_no", N.altitude(made["climb_altitude"]).alias("climb_altitude"), N.holding(made["holding_required"]).alias("holding_required"))
+    return rows.select("raw_no", record_altitude(F.col("v")).alias("climb_altitude"), N.holding(made["holding_required"]).alias("holding_required"))
 
 
 def q_written_records(spark: SparkSession, folder: str) -> DataFrame:
@@ -237,6 +237,21 @@ def q_written_records(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("waypoints", F.array_join("waypoints", " "))
 
 
+def q_trace(spark: SparkSession, folder: str) -> DataFrame:
+    """The questions put to each record and their answers, as one JSON text."""
+    answers = {f: F.col(f) for f in ("turn_direction", "holding_fix")}
+    return read_table(spark, folder, "path_c").select("rec_id", trace(answers).alias("trace"))
+
+
+def q_written_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """A manifest selected by quotas, written as one JSON array and read again."""
+    rows = read_table(spark, folder, "manifest").withColumn("kind", F.substring(N.strip(F.col("proc_ident")), 1, 1))
+    chosen = selection.stratified(rows, "chart_no", "kind", {"R": 20, "L": 10}, "airport", 2, 2604)
+    place = passing_path(spark, "manifest")
+    write_array(chosen.orderBy("pos").select("chart_no", "id", "airport"), place)
+    return json_array(spark, place, "chart_no bigint, id string, airport string").withColumn("pos", F.col("pos").cast("bigint"))
+
+
 def q_manifest_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Charts joined with their newest pair; the others are reported, none is lost."""
     newest = read_table(spark, folder, "pairs_100").groupBy("chart_no").agg(F.max_by("pair_no", F.struct("loaded_at", "pair_no")).alias("pair_no"))

@@ -159,17 +159,16 @@ def _copy(table: str) -> str:
     return f"SELECT chart_no, {_NUMBER_FORM} AS f1, {_FORM('turn_direction')} AS f2, {_FORM('holding_fix')} AS f3, list_transform(waypoints, lambda w: {_FORM('w')}) AS f4 FROM {_latest(table)}"
 
 
-_CUT = r"(?i)\b(?:" + "|".join(X.CUTS) + r")\b"
 _OTHER = f"(t = '' OR (regexp_matches(upper(t), '{X.FREQUENCY}') AND NOT regexp_matches(upper(t), '{X.ACTION}')) OR " + " OR ".join(f"contains(upper(t), '{m}')" for m in X.OTHER_LINES) + ")"
 _PAGE = f"""
-WITH l AS (SELECT rec_id, list_transform(string_split_regex(raw_instruction, '\\r?\\n'), lambda x: regexp_replace(regexp_replace(translate(x, '°Å', '  '), '{_WHITE}+', ' ', 'g'), '^ | $', '', 'g')) AS ls
-           FROM path_a WHERE raw_instruction IS NOT NULL),
+WITH l AS (SELECT rec_id, list_transform(string_split_regex(coalesce(raw_instruction, ''), '\\r?\\n'), lambda x: regexp_replace(regexp_replace(translate(x, '°Å', '  '), '{_WHITE}+', ' ', 'g'), '^ | $', '', 'g')) AS ls
+           FROM path_a),
 n AS (SELECT rec_id, unnest(ls) AS t, generate_subscripts(ls, 1) - 1 AS i FROM l),
 h AS (SELECT rec_id, i AS anchor FROM n WHERE regexp_matches(t, '{X.HEADING}')),
 a AS (SELECT * FROM h UNION ALL SELECT rec_id, min(i) FROM n WHERE regexp_matches(t, '{X.BROAD}') AND rec_id NOT IN (SELECT rec_id FROM h) GROUP BY rec_id),
 own AS (SELECT a.rec_id, a.anchor, n.i, n.t FROM a JOIN n ON n.rec_id = a.rec_id AND n.i BETWEEN a.anchor - 2 AND a.anchor + 9
         WHERE NOT {_OTHER} AND (n.i = a.anchor OR regexp_matches(upper(t), '{X.HEADING}') OR regexp_matches(upper(t), '{X.ACTION}') OR (n.i > a.anchor AND regexp_matches(upper(t), '{X.FIX}')))),
-c AS (SELECT a.rec_id, a.anchor, {_strip(f"string_split_regex(coalesce(string_agg(own.t, ' ' ORDER BY own.i), ''), '{_CUT}')[1]")} AS text
+c AS (SELECT a.rec_id, a.anchor, {_strip(f"string_split_regex(coalesce(string_agg(own.t, ' ' ORDER BY own.i), ''), '{X.CUT}')[1]")} AS text
       FROM a LEFT JOIN own USING (rec_id, anchor) GROUP BY a.rec_id, a.anchor),
 best AS (SELECT rec_id, text FROM c QUALIFY row_number() OVER (PARTITION BY rec_id ORDER BY
       (CASE WHEN regexp_matches(text, '{X.HEADING}') THEN 3 ELSE 0 END) + len(regexp_extract_all(text, '{X.ACTION}')) + 2 * len(regexp_extract_all(text, '{X.FIX}')) DESC, anchor) = 1)
@@ -248,6 +247,11 @@ k AS (SELECT raw_no, json_type(j, '$.climb_altitude') AS alt_type, trim(json_ext
 SELECT raw_no, CASE WHEN alt_type = 'BOOLEAN' THEN (a = 'true')::INTEGER WHEN alt_type IN ('UBIGINT', 'BIGINT', 'VARCHAR') AND regexp_full_match(a, '[+-]?[0-9]+') THEN try_cast(a AS INTEGER) END AS climb_altitude,
 CASE WHEN ht IN ('BOOLEAN', 'VARCHAR') THEN CASE WHEN h IN ('true', 'yes', '1') THEN true WHEN h IN ('false', 'no', '0') THEN false END END AS holding_required FROM k""",
     "q_written_records": "SELECT rec_id, path_code, climb_altitude, array_to_string(waypoints, ' ') AS waypoints FROM path_a",
+    "q_trace": """SELECT rec_id, to_json([{'question': 'turn_direction', 'answer': coalesce(turn_direction, '')}, {'question': 'holding_fix', 'answer': coalesce(holding_fix, '')}]) AS trace FROM path_c""",
+    "q_written_manifest": f"""WITH m AS (SELECT chart_no, pos, id, airport, left({_strip('proc_ident')}, 1) AS kind, md5('2604:' || chart_no) AS o FROM manifest),
+k AS (SELECT * FROM m WHERE kind IN ('R', 'L') QUALIFY row_number() OVER (PARTITION BY airport ORDER BY o, chart_no) <= 2),
+c AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY kind ORDER BY o, chart_no) <= CASE kind WHEN 'R' THEN 20 ELSE 10 END)
+SELECT row_number() OVER (ORDER BY pos) - 1 AS pos, chart_no, id, airport FROM c""",
     "q_not_done": "SELECT chart_no, id FROM manifest ANTI JOIN path_c USING (chart_no)",
     "q_manifest_pairs": """SELECT chart_no, id, pair_no, pair_no IS NOT NULL AS has_pair FROM manifest LEFT JOIN
 (SELECT chart_no, pair_no FROM pairs_100 QUALIFY row_number() OVER (PARTITION BY chart_no ORDER BY loaded_at DESC, pair_no DESC) = 1) USING (chart_no)""",

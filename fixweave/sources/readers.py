@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.normalize import altitude
 from ..functions.responses import fill  # noqa: F401  (templates are filled where they are read)
 
 LEG = "struct<trans_ident:string,seq_no:string,rt_type:string,wpt_ident:string,altitude1:string,alt_desc:string>"
@@ -19,7 +20,7 @@ RECORD = (
 
 def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A file that holds one JSON array, with ``pos``, its order from 0."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     return whole.select(F.posexplode(F.from_json("value", f"array<struct<{_fields(schema)}>>")).alias("pos", "x")).select("pos", "x.*")
 
 
@@ -40,18 +41,24 @@ def json_objects(spark: SparkSession, directory: str) -> DataFrame:
 def record_fields(record: Column) -> dict[str, Column]:
     """Scalars of a variant record as text, waypoints as a list; other types are undetermined, not errors.
 
-    An altitude that is no whole number (``3000.0``) is undetermined, true and false count as 1
-    and 0; whether holding is required may be a truth value or text, not a number.
+    An altitude that is no whole number (``3000.0``) is undetermined; whether holding is required
+    may be a truth value or text, not a number.
     """
     kind = lambda f: F.schema_of_variant(F.try_variant_get(record, f"$.{f}", "variant"))
     text = lambda f: F.when(~kind(f).rlike("^(ARRAY|OBJECT)"), F.try_variant_get(record, f"$.{f}", "string"))
     out = {f: text(f) for f in ("raw_instruction", "climb_altitude", "turn_direction", "holding_required", "holding_fix", "initial_track", "turn_trigger")}
     alt, hold = kind("climb_altitude"), kind("holding_required")
-    out["climb_altitude"] = F.when(alt == "BOOLEAN", F.try_variant_get(record, "$.climb_altitude", "boolean").cast("int").cast("string")).when(~alt.rlike("^(DECIMAL|DOUBLE|FLOAT)"), out["climb_altitude"])
+    out["climb_altitude"] = F.when(~alt.rlike("^(DECIMAL|DOUBLE|FLOAT)"), out["climb_altitude"])
     out["holding_required"] = F.when(hold.isin("BOOLEAN", "STRING"), out["holding_required"])
     return out | {"waypoints": F.try_variant_get(record, "$.waypoints", "array<string>")}
 
 
+def record_altitude(record: Column) -> Column:
+    """The altitude of a variant record as a number; a truth value passes as 1 or 0."""
+    kind = F.schema_of_variant(F.try_variant_get(record, "$.climb_altitude", "variant"))
+    return F.when(kind == "BOOLEAN", F.try_variant_get(record, "$.climb_altitude", "boolean").cast("int")).otherwise(altitude(record_fields(record)["climb_altitude"]))
+
+
 def latin1_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of Latin-1 files with their file and number from 0, for layouts where the first line wins."""
     files = spark.read.format("binaryFile").load(path)
@@ -59,6 +66,11 @@ def latin1_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.where(F.col("value") != "")
 
 
+def first_lines(spark: SparkSession, path: str, n: int = 5) -> DataFrame:
+    """The first ``n`` lines of Latin-1 files, in order: a look at what a file holds."""
+    return latin1_lines(spark, path).orderBy("file", "line_no").limit(n)
+
+
 def latin1_records(spark: SparkSession, path: str) -> DataFrame:
     """Lines of large Latin-1 files, split among tasks, without numbers."""
     reader = spark.read.option("encoding", "ISO-8859-1").option("sep", "\u0001").option("quote", "")
@@ -67,7 +79,7 @@ def latin1_records(spark: SparkSession, path: str) -> DataFrame:
 
 def template(spark: SparkSession, path: str) -> str:
     """A prompt file's text without white space around it."""
-    return spark.read.option("wholetext", True).text(path).first().value.strip()
+    return spark.read.text(path, wholetext=True).first().value.strip()
 
 
 def images(spark: SparkSession, directory: str, pattern: str = "*.png") -> DataFrame:

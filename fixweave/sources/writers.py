@@ -16,6 +16,23 @@ def write_records(df: DataFrame, folder: str, by: str = "path") -> None:
     df.write.mode("overwrite").partitionBy(by).json(folder)
 
 
+def write_array(df: DataFrame, path: str) -> None:
+    """A small table in its order as one JSON array, as manifests are kept: ``MAX_REPORT_ROWS`` rows at most."""
+    rows = collect_bounded(df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("j")), MAX_REPORT_ROWS, path)
+    text = "[\n" + ",\n".join(r.j for r in rows) + "\n]"
+    df.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def trace(answers: dict[str, Column]) -> Column:
+    """A record's questions and recorded answers as a JSON array, in their order; null answers are empty."""
+    return F.to_json(F.array(*[F.struct(F.lit(q).alias("question"), F.coalesce(a.cast("string"), F.lit("")).alias("answer")) for q, a in answers.items()]))
+
+
+def write_texts(df: DataFrame, folder: str, key: str, text: str) -> None:
+    """The text beside each record (recognised pages, raw responses) as JSON lines of key and text, without nulls."""
+    df.where(F.col(text).isNotNull()).select(key, text).write.mode("overwrite").json(folder)
+
+
 def nested_metrics(df: DataFrame, outer: str, inner: str, values: list[str]) -> DataFrame:
     """One row per ``outer`` with a JSON object of its ``inner`` entries' values."""
     entry = F.struct(F.col(inner).cast("string").alias("k"), F.struct(*values).alias("v"))

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from fixweave.operators.selection import first_missing, lookup_list
 from fixweave.operators.sequence import after_first
-from fixweave.sources.readers import record_fields
+from fixweave.sources.readers import first_lines, json_array, record_altitude, record_fields, template
+from fixweave.sources.writers import write_array
 
 
 def test_lookup_list_keeps_every_row(spark):
@@ -34,7 +35,7 @@ def test_after_first_with_null_keys_and_ties(spark):
         ('{"climb_altitude": 3000, "holding_required": true}', "3000", "true"),
         ('{"climb_altitude": 3000.0, "holding_required": 1}', None, None),
         ('{"climb_altitude": 3000.5, "holding_required": "no"}', None, "no"),
-        ('{"climb_altitude": true, "holding_required": false}', "1", "false"),
+        ('{"climb_altitude": true, "holding_required": false}', "true", "false"),
         ('{"climb_altitude": "3,000", "holding_required": [true]}', "3,000", None),
         ('{"climb_altitude": null}', None, None),
         ("{}", None, None),
@@ -44,3 +45,23 @@ def test_scalars_keep_their_json_types(spark, record, altitude, holding):
     made = record_fields(F.col("v"))
     row = spark.createDataFrame([(record,)], "j string").select(F.try_parse_json("j").alias("v")).select(made["climb_altitude"].alias("a"), made["holding_required"].alias("h")).first()
     assert (row.a, row.h) == (altitude, holding)
+
+
+def test_a_truth_value_passes_as_an_altitude(spark):
+    df = spark.createDataFrame([(f'{{"climb_altitude": {x}}}',) for x in ("true", "false", "4500", '"4500"', "4500.0", '"true"', "null")], "j string")
+    assert [r[0] for r in df.select(record_altitude(F.try_parse_json("j"))).collect()] == [1, 0, 4500, 4500, None, None, None]
+
+
+def test_json_array_and_template_over_several_lines(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[\n {"k": 1,\n  "v": "x"},\n {"k": 2, "v": null}\n]\n')
+    rows = json_array(spark, str(tmp_path / "a.json"), "k int, v string").collect()
+    assert [tuple(r) for r in rows] == [(0, 1, "x"), (1, 2, None)]
+    (tmp_path / "t.txt").write_text("\nOne {a}\n\nTwo\n")
+    assert template(spark, str(tmp_path / "t.txt")) == "One {a}\n\nTwo"
+    write_array(spark.createDataFrame([(3, None), (4, "y")], "k int, v string"), str(tmp_path / "out"))
+    assert [tuple(r) for r in json_array(spark, str(tmp_path / "out"), "k int, v string").collect()] == [(0, 3, None), (1, 4, "y")]
+
+
+def test_first_lines(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes("é1\nb\n\nc\nd\n".encode("latin-1"))
+    assert [(r.line_no, r.value) for r in first_lines(spark, str(tmp_path / "a.txt"), 3).collect()] == [(0, "é1"), (1, "b"), (3, "c")]
