@@ -69,11 +69,14 @@ def test_whole_table_by_brute_force(spark):
             return False
 
     assert {k: r.well_formed for k, r in records.items()} == {r.pair_no: readable(r) for r in rows}
-    # typed pairs are those the SQL confirms
-    typed = {r.pair_no: r for r in reference_queries.q_procedure_record(spark, folder).collect()}
+    # the query of all pairs, on those that are typed
+    given = {r.pair_no for r in rows if r.cifp is not None}
+    every = {r.pair_no: r for r in reference_queries.q_procedure_record(spark, folder).collect()}
+    assert sorted(every) == sorted(records) and given < set(every)
+    typed = {k: r for k, r in every.items() if k in given}
     assert typed and all(records[k].asDict() == r.asDict() | {"well_formed": True} for k, r in typed.items())
     assert {(r.pair_no, r.p): r for r in data_queries.p5_lines(spark, folder).collect() if r.pair_no in typed} == {
-        (r.pair_no, r.p): r for r in reference_queries.q_fixed_width(spark, folder).collect()
+        (r.pair_no, r.p): r for r in reference_queries.q_fixed_width(spark, folder).collect() if r.pair_no in given
     }
     lines, legs = data_queries.p5_lines(spark, folder).collect(), data_queries.p5_legs(spark, folder).collect()
     count = lambda found: {k: sum(r.pair_no == k for r in found) for k in records if k not in typed}
