@@ -59,6 +59,9 @@ class Codec:
         self.table[:0x80] = np.arange(0x80)
         for char, byte in self.back.items():
             self.table[char] = byte
+        # a span needs a byte that leads and one that follows
+        self.leads = frozenset(chr(c) for c, b in self.back.items() if 0xC2 <= b <= 0xF4)
+        self.tails = frozenset(chr(c) for c, b in self.back.items() if b <= 0xBF)
 
 
 class DoubleCodec:
@@ -199,6 +202,8 @@ class Repair:
         points = np.where(points < 0x10000, points, 0xFFFF)
         found: dict[str, int] = {}
         for codec in self.codecs:
+            if codec.leads.isdisjoint(text) or codec.tails.isdisjoint(text):
+                continue
             byte = codec.table[points]
             out, at, gain = [], 0, 0
             for s, e in zip(*utf8_spans(byte)):
