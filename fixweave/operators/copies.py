@@ -49,15 +49,16 @@ def list_form(value: Column) -> Column:
     return F.when(value.isNotNull(), F.to_json(F.transform(value, text_form), {"ignoreNullFields": "false"}))
 
 
-#: Rows of a range, keys sampled for it, and keys sampled at most.
-RANGE_ROWS, SAMPLE, MAX_SAMPLE = 1_000_000, 100, 2_000_000
+#: Rows of a range, keys sampled for it, and keys sampled at most, which come to the driver.
+#: Beyond 20,000 ranges the ranges grow instead.
+RANGE_ROWS, SAMPLE, MAX_SAMPLE = 1_000_000, 100, 500_000
 
 
 def split_points(keys: DataFrame, ranges: int | None = None) -> tuple[list[Row], list[Row]]:
     """Keys at which to cut into ranges of about ``RANGE_ROWS`` rows, in order, and hot keys:
     those with half a range of the sample or more. Only the key columns are read."""
     total = keys.count()
-    ranges = ranges or max(keys.sparkSession.sparkContext.defaultParallelism, -(-total // RANGE_ROWS))
+    ranges = ranges or min(max(keys.sparkSession.sparkContext.defaultParallelism, -(-total // RANGE_ROWS)), MAX_SAMPLE // 25)
     wanted = min(ranges * SAMPLE, MAX_SAMPLE)
     sample = keys if total <= wanted else keys.sample(min(1.0, 1.1 * wanted / total), 17)
     counted = collect_bounded(sample.groupBy(*keys.columns).agg(F.count("*").alias("__fw_n")).orderBy(*keys.columns), 2 * MAX_SAMPLE, "sampled keys")
