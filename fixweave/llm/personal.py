@@ -163,11 +163,14 @@ def corpus_cases(df: DataFrame, text: str, share: float = CASE_SHARE) -> dict[st
     rows = df.where(F.col(text).isNotNull()).select(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "").alias("raw"))
     at = lambda i: F.when(i >= 0, F.get("raw", i))
     seen = rows.select(F.explode(F.transform("raw", lambda w, i: F.struct(w.alias("raw"), *[at(i - k).alias(f"b{k}") for k in (1, 2, 3)]))).alias("x")).select("x.*")
-    words = seen.select("*", F.regexp_replace("raw", r"(?U)^[\W\d_]+|[\W\d_]+$", "").alias("w")).where(F.col("w").rlike(r"^\p{L}+(['’-]\p{L}+)*$"))
+    # most words are plain as they stand: marks around the others are cut off only then
+    plain = lambda c: c.rlike(r"^\p{L}+(['’-]\p{L}+)*$")
+    bare = F.regexp_replace("raw", r"(?U)^[\W\d_]+|[\W\d_]+$", "")
+    words = seen.select("*", F.when(plain(F.col("raw")), F.col("raw")).otherwise(F.when(plain(bare), bare)).alias("w")).where(F.col("w").isNotNull())
     low = F.lower("w")
     titled = lambda w: (w != F.lower(w)) & ((F.length(w) == 1) | (w != F.upper(w)))
     kind = F.when(F.col("w") == low, "l").when((F.length("w") > 1) & (F.col("w") == F.upper("w")), "u").otherwise("t")
-    named = lambda c: F.col(c).rlike(r"^\p{L}+(['’-]\p{L}+)*$") & titled(F.col(c))
+    named = lambda c: titled(F.col(c)) & plain(F.col(c))
     locates = lambda c: F.lower(c).isin(*LOCATIVE)
     after = locates("b1") | named("b1") & (locates("b2") | named("b2") & locates("b3"))
     placed = F.coalesce(titled(F.col("w")) & after, F.lit(False))
