@@ -2,17 +2,19 @@
 
 Records are parsed once into variants; counts of fields, types, value shapes and words per
 file are pre-aggregated in the JVM, so a file or feed with most of the rows sends only its
-counts. Each file's profile meets the one before it in runs of files, so that a feed is
-spread too, and similarity flooding decides which vanished field another one carries on.
+counts. Those of a file meet those of the one before it as sorted rows, of which one pair of
+files at a time is held, and similarity flooding decides which vanished field another one
+carries on.
 """
 
 from __future__ import annotations
 
-import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,10 +22,10 @@ from ..session import materialise
 from .flooding import Field, correspondences
 
 CHANGES = "feed string, file_no int, change_kind string, field_before string, field_after string"
-#: Value shapes and words of prose are hashed into so many buckets, which bounds a field's profile.
-SHAPE_BUCKETS, WORD_BUCKETS = 256, 256
-#: One in so many words of a prose value counts.
-WORD_STEP = 4
+_CHANGES = pa.schema([(x.split()[0], pa.int32() if x.endswith("int") else pa.string()) for x in CHANGES.split(", ")])
+#: Value shapes are hashed into so many buckets: shapes of codes hardly ever recur, but fill them alike.
+SHAPE_BUCKETS = 256
+_FIELD = ("feed", "file_no", "key", "inner")
 #: Files whose numbers fall into one such range are compared in one task at most.
 RUN = 256
 #: Shapes of more characters are told by the value's length only.
@@ -49,8 +51,8 @@ def _marks(kind: Column, text: Column) -> Column:
     """What a whole value looks like, as a list of which the first entry stands for the value.
 
     Numbers by their digits before the point, other values by their runs of letters and
-    digits, long ones by their length in powers of two. Of prose, every word whose hash is
-    a multiple of ``WORD_STEP`` follows, which is the same choice in every file.
+    digits, long ones by their length in powers of two. Of prose, every word follows, once
+    for the value.
     """
     runs = F.regexp_replace(F.regexp_replace(text, "[0-9]+", "9"), r"\p{L}+", "a")
     size = F.concat(F.lit("~"), F.ceil(F.log2(F.length(text))).cast("string"))
@@ -60,17 +62,17 @@ def _marks(kind: Column, text: Column) -> Column:
         .when(kind == "object", "o")
         .otherwise(F.concat(F.substring(kind, 1, 1), F.when(F.length(runs) <= LONGEST_SHAPE, runs).otherwise(size)))
     )
-    words = F.filter(F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+")), lambda w: F.pmod(F.xxhash64(w), F.lit(WORD_STEP)) == 0)
-    prose = F.when((kind == "string") & text.contains(" "), F.transform(words, lambda w: F.concat(F.lit("w"), F.pmod(F.xxhash64(w, F.lit(1)), F.lit(WORD_BUCKETS)).cast("string"))))
+    words = F.array_remove(F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+")), "")
+    prose = F.when((kind == "string") & text.contains(" "), F.transform(words, lambda w: F.concat(F.lit("w"), w)))
     first = F.array(F.concat(F.lit("s"), F.pmod(F.xxhash64(shape), F.lit(SHAPE_BUCKETS)).cast("string")))
     return F.when(kind.isNotNull(), F.concat(first, F.coalesce(prose, F.array().cast("array<string>"))))
 
 
-def file_profiles(df: DataFrame) -> DataFrame:
-    """One row per (feed, file_no): its fields with presence above half, as JSON text.
+def file_counts(df: DataFrame) -> DataFrame:
+    """How often each mark stands in each field of each file, by (feed, file_no, key, inner, kind, mark).
 
-    Records that aren't well-formed objects don't count, and a file without any other has
-    no row. Presence of a nested key is judged over the records in which its parent is an object.
+    Records that aren't well-formed objects don't count. A row without a key counts the
+    file's records, one without ``inner`` is of a top-level field, one without ``mark`` counts nulls.
     """
     explode = df.sparkSession.tvf.variant_explode_outer
     records = df.select("feed", "file_no", parsed(F.col("payload")).alias("v")).where(F.col("v").isNotNull())
@@ -88,50 +90,60 @@ def file_profiles(df: DataFrame) -> DataFrame:
     )
     rows = nested.select("feed", "file_no", F.explode(F.filter(views, lambda x: x.isNotNull())).alias("x")).select("feed", "file_no", "x.*")
     typed = rows.select("feed", "file_no", "key", "inner", F.when(F.col("key").isNotNull(), _type(F.col("v"))).alias("kind"), F.col("v").cast("string").alias("text"))
-    marked = typed.select("feed", "file_no", "key", "inner", "kind", F.posexplode_outer(_marks(F.col("kind"), F.col("text"))).alias("at", "mark"))
-    counts = marked.groupBy("feed", "file_no", "key", "inner", "kind", "mark").agg(F.count("*").alias("n"), F.count_if(F.coalesce("at", F.lit(0)) == 0).alias("values"))
-    fields = counts.groupBy("feed", "file_no", "key", "inner").agg(
-        F.sum("values").alias("present"),
-        F.sum(F.when(F.col("kind") == "object", F.col("values")).otherwise(0)).alias("objects"),
-        F.collect_list(F.struct("kind", "mark", "n")).alias("marks"),
-    )
+    marked = typed.select("feed", "file_no", "key", "inner", "kind", F.explode_outer(_marks(F.col("kind"), F.col("text"))).alias("mark"))
+    return marked.groupBy("feed", "file_no", "key", "inner", "kind", "mark").agg(F.count("*").alias("n"))
+
+
+def kept_fields(counts: DataFrame) -> DataFrame:
+    """The fields with presence above half, as (feed, file_no, key, inner); a row without a key for every file.
+
+    Presence of a nested key is judged over the records in which its parent is an object.
+    """
+    # words come beside the mark that stands for their value
+    values = F.when(F.col("mark").startswith("w"), 0).otherwise(F.col("n"))
+    fields = counts.groupBy("feed", "file_no", "key", "inner").agg(F.sum(values).alias("present"), F.sum(F.when(F.col("kind") == "object", values).otherwise(0)).alias("objects"))
     by_file = Window.partitionBy("feed", "file_no")
     size = F.max(F.when(F.col("key").isNull(), F.col("present"))).over(by_file)
     owner = F.max(F.when(F.col("inner").isNull(), F.col("objects"))).over(by_file.partitionBy("feed", "file_no", "key"))
     judged = fields.select("*", size.alias("size"), owner.alias("owner"))
     kept = judged.where(F.when(F.col("inner").isNull(), F.col("present") * 2 > F.col("size")).otherwise(F.col("present") * 2 > F.col("owner")))
-    return kept.groupBy("feed", "file_no").agg(F.to_json(F.sort_array(F.collect_list(F.struct("key", "inner", "marks")))).alias("profile"))
+    return kept.select("feed", "file_no", "key", "inner")
+
+
+#: Counts of one field: of its types, its value shapes and its words.
+Counts = tuple[dict[str, int], dict[str, float], dict[str, float]]
 
 
-def _fields(profile: str) -> dict[str, Field]:
+def _fields(counted: dict[tuple[str, str | None], Counts]) -> dict[str, Field]:
     out: dict[str, Field] = {}
-    nested: list[tuple[str, Field]] = []
-    for x in json.loads(profile):
-        if x.get("key") is None:
-            continue
-        kinds: dict[str, int] = {}
-        shapes: dict[str, float] = {}
-        words: dict[str, float] = {}
-        for v in x["marks"]:
-            if kind := v.get("kind"):
-                if v["mark"][0] == "s":
-                    kinds[kind] = kinds.get(kind, 0) + v["n"]
-                    shape = f"{kind}{v['mark']}"
-                    shapes[shape] = shapes.get(shape, 0) + v["n"]
-                else:
-                    words[v["mark"]] = words.get(v["mark"], 0) + v["n"]
+    # top-level fields come before the keys in them
+    for (key, inner), (kinds, shapes, words) in sorted(counted.items(), key=lambda x: (x[0][1] is not None, x[0][0], x[0][1] or "")):
         most = max(kinds, key=kinds.get) if kinds else None
         kind = most if most and kinds[most] * 2 > sum(kinds.values()) else None
-        if x.get("inner") is None:
-            out[x["key"]] = Field(x["key"], kind, shapes, words)
-        else:
-            nested.append((x["key"], Field(x["inner"], kind, shapes, words)))
-    for key, f in nested:
-        if key in out:
-            out[key].children[f.name] = f
+        if inner is None:
+            out[key] = Field(key, kind, shapes, words)
+        elif key in out:
+            out[key].children[inner] = Field(inner, kind, shapes, words)
     return out
 
 
+def _two_files(rows: Iterable[tuple]) -> tuple[dict[str, Field], dict[str, Field]]:
+    """The fields of the earlier and of the later file, from the counts of both in any order."""
+    files: tuple[dict, dict] = ({}, {})
+    for _, _, later, key, inner, kind, mark, n in rows:
+        if key is None:
+            continue
+        kinds, shapes, words = files[later].setdefault((key, inner), ({}, {}, {}))
+        if mark is None:
+            continue
+        if mark[0] == "s":
+            kinds[kind] = kinds.get(kind, 0) + n
+            shapes[f"{kind}{mark}"] = n
+        else:
+            words[mark] = n
+    return _fields(files[0]), _fields(files[1])
+
+
 def _changes(before: dict[str, Field], after: dict[str, Field]) -> Iterator[tuple[str, str, str]]:
     gone, new = before.keys() - after.keys(), after.keys() - before.keys()
     renamed = correspondences(list(before.values()), list(after.values()), set(gone), set(new))
@@ -156,19 +168,16 @@ def _nested_field(fields: dict[str, Field], keys: re.Pattern) -> str | None:
 def _compare(nested_keys: str):
     pattern = re.compile(nested_keys)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for feed, file_no, old, now in zip(frame.feed, frame.file_no, frame.before, frame.profile):
-                if old == now:
-                    continue
-                before, after = _fields(old), _fields(now)
-                rows += [(feed, file_no, *change) for change in _changes(before, after)]
-                x, y = _nested_field(before, pattern), _nested_field(after, pattern)
-                if x is not None and y is not None:
-                    for kind, a, b in _changes(before[x].children, after[y].children):
-                        rows.append((feed, file_no, kind, a and f"{y}.{a}", b and f"{y}.{b}"))
-            yield pd.DataFrame(rows, columns=["feed", "file_no", "change_kind", "field_before", "field_after"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+        for (feed, file_no), counts in groupby(rows, key=lambda row: row[:2]):
+            before, after = _two_files(counts)
+            found = list(_changes(before, after))
+            x, y = _nested_field(before, pattern), _nested_field(after, pattern)
+            if x is not None and y is not None:
+                found += [(kind, a and f"{y}.{a}", b and f"{y}.{b}") for kind, a, b in _changes(before[x].children, after[y].children)]
+            if found:
+                yield pa.RecordBatch.from_pylist([dict(zip(_CHANGES.names, (feed, file_no, *change))) for change in found], schema=_CHANGES)
 
     return run
 
@@ -181,11 +190,19 @@ def schema_changes(df: DataFrame, nested_keys: str = r"^[Qq][0-9]+") -> DataFram
     over, a feed of one file has no changes, rows that occur again count again (which no
     majority depends on unless it hangs on them), and other columns don't matter.
     """
-    # one row per file, read three times
-    profiles = materialise(file_profiles(df.select("feed", "file_no", "payload")), "file-profiles")
+    # both are read more than once
+    counts = materialise(file_counts(df.select("feed", "file_no", "payload")), "file-counts")
+    kept = materialise(kept_fields(counts), "file-fields")
+    pairs = neighbours(kept.where(F.col("key").isNull()).select("feed", "file_no", F.struct("file_no").alias("profile")))
+    side = lambda which, later: F.struct(F.col(which)["file_no"].alias("of"), F.lit(later).alias("later"))
+    sides = pairs.select(F.col("feed").alias("of_feed"), F.col("file_no").alias("pair"), F.inline(F.array(side("before", 0), side("profile", 1))))
+    # merged, as neither side has a bound: their files are packed, and would seem small enough to be sent out whole
+    wanted = kept.hint("merge").join(sides, F.col("feed").eqNullSafe(F.col("of_feed")) & F.col("file_no").eqNullSafe(F.col("of"))).select("pair", "later", *[F.col(c).alias(f"of_{c}") for c in _FIELD])
+    same = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in _FIELD]
+    rows = counts.hint("merge").join(wanted, same).select("feed", "pair", "later", "key", "inner", "kind", "mark", "n")
     # comparing is work for the processor: as many tasks as there are cores, whatever the bytes
     tasks = max(df.sparkSession.sparkContext.defaultParallelism, 1)
-    return neighbours(profiles).repartition(tasks, "feed", "file_no").mapInPandas(_compare(nested_keys), CHANGES)
+    return rows.repartition(tasks, "feed", "pair").sortWithinPartitions("feed", "pair").mapInArrow(_compare(nested_keys), CHANGES)
 
 
 def neighbours(profiles: DataFrame, run: int = RUN) -> DataFrame:

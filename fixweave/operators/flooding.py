@@ -10,6 +10,7 @@ and to the fields that both schemas have.
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass, field
 
@@ -67,14 +68,76 @@ def _spread(weight: np.ndarray) -> np.ndarray:
     return np.divide(weight, total, out=np.zeros_like(weight), where=total > 0)
 
 
-def _layer(fields: list[Field], of) -> tuple[list[str], np.ndarray]:
-    nodes = sorted({n for f in fields for n in of(f)})
+def _nodes(weights: list[dict[str, float]]) -> list[str]:
+    return sorted({n for w in weights for n in w})
+
+
+def _edges(weights: list[dict[str, float]], nodes: list[str]) -> np.ndarray:
     at = {n: i for i, n in enumerate(nodes)}
-    edges = np.zeros((len(fields), len(nodes)))
-    for i, f in enumerate(fields):
-        for n, w in of(f).items():
-            edges[i, at[n]] = w
-    return nodes, edges
+    edges = np.zeros((len(weights), len(nodes)))
+    for i, weight in enumerate(weights):
+        for n, w in weight.items():
+            if n in at:
+                edges[i, at[n]] = w
+    return edges
+
+
+def _sums(weights: list[dict[str, float]], power: int) -> np.ndarray:
+    return np.array([math.fsum(x**power for x in w.values()) for w in weights], float)
+
+
+class _Alike:
+    """A layer in which any two nodes can be alike: a score for every pair of nodes."""
+
+    def __init__(self, wa: list[dict[str, float]], wb: list[dict[str, float]], like) -> None:
+        na, nb = _nodes(wa), _nodes(wb)
+        ea, eb = _edges(wa, na), _edges(wb, nb)
+        self.start = np.array([[like(x, y) for y in nb] for x in na]).reshape(len(na), len(nb))
+        self.score = self.start
+        self.down_a, self.down_b, self.up_a, self.up_b = _spread(ea), _spread(eb), _spread(ea.T), _spread(eb.T)
+        self.product = ea @ self.start @ eb.T
+
+    def down(self) -> np.ndarray:
+        return self.down_a @ (self.start + self.score) @ self.down_b.T
+
+    def up(self, held: np.ndarray) -> np.ndarray:
+        return self.start + self.score + self.up_a @ held @ self.up_b.T * (self.start > 0)
+
+
+class _Equal:
+    """A layer in which only equal nodes are alike: a score for every node that both schemas
+    have. Time and memory follow their number and not its square, so a field may have as many
+    words as it likes.
+
+    What a pair of fields takes from its nodes is weighted by the root of their shares in
+    either field, which sum to 1 at most: many words count no more than few.
+    """
+
+    def __init__(self, wa: list[dict[str, float]], wb: list[dict[str, float]]) -> None:
+        self.shape = len(wa), len(wb)
+        # fields without a node pass nothing on
+        self.at = [i for i, w in enumerate(wa) if w], [j for j, w in enumerate(wb) if w]
+        wa, wb = [wa[i] for i in self.at[0]], [wb[j] for j in self.at[1]]
+        nodes = sorted(set().union(*wa) & set().union(*wb))
+        ea, eb = _edges(wa, nodes), _edges(wb, nodes)
+        self.start = np.ones(len(nodes))
+        self.score = self.start
+        # what a field passes on goes to the nodes that only one schema has, too
+        share_a, share_b = ea / _sums(wa, 1)[:, None], eb / _sums(wb, 1)[:, None]
+        self.up_a, self.up_b = share_a.T, share_b.T
+        self.down_a, self.down_b = _spread(ea) * np.sqrt(share_a), _spread(eb) * np.sqrt(share_b)
+        self.product = self._placed(ea @ eb.T)
+
+    def _placed(self, found: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.shape)
+        out[np.ix_(*self.at)] = found
+        return out
+
+    def down(self) -> np.ndarray:
+        return self._placed((self.down_a * (self.start + self.score)) @ self.down_b.T)
+
+    def up(self, held: np.ndarray) -> np.ndarray:
+        return self.start + self.score + ((self.up_a @ held[np.ix_(*self.at)]) * self.up_b).sum(axis=1)
 
 
 def _tokens(f: Field) -> dict[str, float]:
@@ -108,17 +171,6 @@ LEAST_START = 0.15
 RELATIVE, USUAL = 0.7, 0.2
 
 
-def _start(na: list[str], nb: list[str], like) -> np.ndarray:
-    if like is not None:
-        return np.array([[like(x, y) for y in nb] for x in na])
-    out = np.zeros((len(na), len(nb)))
-    at = {n: j for j, n in enumerate(nb)}
-    for i, n in enumerate(na):
-        if n in at:
-            out[i, at[n]] = 1.0
-    return out
-
-
 def initial(a: list[Field], b: list[Field], alike: list[np.ndarray]) -> np.ndarray:
     """Mean likeness of name and content. Content is the words of prose, the keys of objects,
     the shapes of other values; booleans have none that tells one from another."""
@@ -140,14 +192,12 @@ def flood(a: list[Field], b: list[Field], rounds: int = 100, still: float = 1e-4
         return np.zeros((len(a), len(b)))
     layers, alike = [], []
     for of, like in _LAYERS:
-        (na, ea), (nb, eb) = _layer(a, of), _layer(b, of)
-        near = np.zeros((len(a), len(b)))
-        if na and nb:
-            start = _start(na, nb, like)
-            layers.append([start, start.copy(), _spread(ea), _spread(eb), _spread(ea.T), _spread(eb.T)])
-            size = np.sqrt((ea**2).sum(axis=1))[:, None] * np.sqrt((eb**2).sum(axis=1))[None, :]
-            near = np.minimum(1.0, np.divide(ea @ start @ eb.T, size, out=near, where=size > 0))
-        alike.append(near)
+        wa, wb = [of(f) for f in a], [of(f) for f in b]
+        layer = _Equal(wa, wb) if like is None else _Alike(wa, wb, like)
+        if layer.start.size:
+            layers.append(layer)
+        size = np.sqrt(_sums(wa, 2))[:, None] * np.sqrt(_sums(wb, 2))[None, :]
+        alike.append(np.minimum(1.0, np.divide(layer.product, size, out=np.zeros((len(a), len(b))), where=size > 0)))
     base = initial(a, b, alike)
     node = base > 0
     now = base.copy()
@@ -155,13 +205,13 @@ def flood(a: list[Field], b: list[Field], rounds: int = 100, still: float = 1e-4
         held = base + now
         grown = held.copy()
         passed = []
-        for start, score, down_a, down_b, up_a, up_b in layers:
-            grown += (down_a @ (start + score) @ down_b.T) * node
-            passed.append(start + score + up_a @ held @ up_b.T * (start > 0))
+        for layer in layers:
+            grown += layer.down() * node
+            passed.append(layer.up(held))
         top = max([grown.max(), *(p.max() for p in passed), 1e-12])
         grown /= top
         for layer, p in zip(layers, passed):
-            layer[1] = p / top
+            layer.score = p / top
         done = np.abs(grown - now).max() < still
         now = grown
         if done:
